@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_counts import blocks, load
+from .textual import slices
+from .token_counts import BLOCK_BYTES, load
 from .workspace import Workspace
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -93,7 +94,7 @@ def _cut(path: str, window: int):
         words = words_of(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for part in blocks(batch):
+            for part in slices(batch, BLOCK_BYTES):
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = words.document(text or "") + end

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textual import slices
 from .workspace import Workspace, shuffle_width
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,17 +54,6 @@ def pre_tokens(text: str, special: tuple[str, ...]) -> tuple[str, list[str]]:
     return first, rest
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BLOCK_BYTES of text, at least one row each."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        done = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, done + BLOCK_BYTES, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _gather(path: str, buckets: int):
     """Per block of documents: its distinct pre-tokens dealt to buckets, with each document's frequencies of them."""
 
@@ -71,7 +61,7 @@ def _gather(path: str, buckets: int):
         special = tuple(t.content for t in load(path).get_added_tokens_decoder().values())
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in blocks(batch):
+            for part in slices(batch, BLOCK_BYTES):
                 yield from _pack(part, special, number, buckets)
                 number += 1
 
