@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, token_counts
+from . import exact_dedup, language_id, mixing, packing, quality, token_counts
 from .workspace import Workspace
 
 
@@ -31,6 +31,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op8"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), exact_dedup.arrivals(), Workspace(spark, "op10"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
+    "op8_quality": op8_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
