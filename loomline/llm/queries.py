@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, packing, quality, token_counts
+from . import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, token_counts
 from .workspace import Workspace
 
 
@@ -43,6 +43,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op8"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), exact_dedup.arrivals(), Workspace(spark, "op10"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality": op8_quality,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
