@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, token_counts
+from . import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, suffix_dedup, token_counts
 from .workspace import Workspace
 
 
@@ -35,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"), Workspace(spark, "op7"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality": op8_quality,
     "op9_license_scan": op9_license_scan,
