@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
         }
     )
     # The level if this source and all that fill up later are below their caps; the first source that stays below its cap sets it.
-    table = table.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-    level = F.min(F.when(F.col("level") <= F.col("fills"), F.col("level"))).over(every)
+    table = table.withColumns({"level": (F.col("total") - F.col("capped")) / F.col("open"), "place": F.row_number().over(order)})
+    level = F.min(F.when(F.col("level") <= F.col("fills"), F.struct("place", "level"))).over(every)["level"]
     return table.withColumn("at", F.coalesce(level, F.lit(float("inf")))).select("source", "source_size", F.least(F.col("cap"), F.col("at") * F.col("w")).alias("target"))
 
 
@@ -55,7 +55,7 @@ def random_key(epoch: Column) -> Column:
 
 
 def mixture(docs: DataFrame, work: Workspace, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken), one row per row of ``docs``.
+    """(doc_id, print, size, source, source_size, target, taken), one row per row of ``docs``; print is a hash of the text.
 
     A source's whole epochs take each of its documents once. Its last epoch takes
     documents in hash order up to the exact budget (the target rounded down); of
@@ -68,7 +68,7 @@ def mixture(docs: DataFrame, work: Workspace, share: float = SHARE, most: int =
     take nothing. Rows that repeat a doc_id follow each other in any order, with
     the same sum. An empty table gives an empty result.
     """
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     sized = work.write(sized, "sizes")
     per = work.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
     ranges = 1 << max(0, (sized.count() // 4000).bit_length())
@@ -80,21 +80,29 @@ def mixture(docs: DataFrame, work: Workspace, share: float = SHARE, most: int =
     sums = rows.groupBy("link", "range").agg(F.sum("size").alias("sum"))
     before = W.partitionBy("link").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("link", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
-    within = W.partitionBy("link", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("link", "range").orderBy("key", "doc_id", "print").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("budget") - F.col("whole") * F.col("source_size") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.join(sums, ["link", "range"]).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    return rows.join(sums, ["link", "range"]).select("doc_id", "print", "size", "source", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, work: Workspace, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: one for each whole repeat, and for the document at a cut its first words."""
-    parts = work.write(mixture(docs, work, share, most, weights).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"]), "taken")
-    joined = docs.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    length = F.explode(F.transform(F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)")), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size"))))
-    cut = first_words(F.col("text"), F.col("_words"))
-    out = joined.withColumn("_words", length).withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
+    """The rows of ``docs`` as the mix takes them: one for each whole repeat, and for the document at a cut its first words.
+
+    Rows that repeat both doc_id and text share the other columns of one of them.
+    """
+    taken = mixture(docs, work, share, most, weights).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "size", "taken")
+    parts = work.write(taken.groupBy("_id", "_print").agg(F.max("size").alias("_size"), F.collect_list("taken").alias("_taken"), F.count("*").alias("_rows"), F.sum("taken").alias("_sum")), "taken")
+    keyed = docs.withColumns({"_id2": F.col("doc_id").cast("long"), "_print2": F.xxhash64("text")})
+    if parts.where("_rows > 1").head(1):
+        keyed = keyed.dropDuplicates(["_id2", "_print2"])
+    used = parts.where("_sum > 0")
+    joined = keyed.join(used, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_print2") == F.col("_print")))
+    rounds = F.transform(F.filter("_taken", lambda t: t > 0), lambda t: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((t - 1) / F.col("_size"))), lambda i: F.least(F.col("_size"), t - i * F.col("_size"))))
+    whole = F.col("_words") >= F.col("_size")
+    out = joined.withColumn("_words", F.explode(F.flatten(rounds))).withColumn("text", F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col("_words"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

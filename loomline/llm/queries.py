@@ -85,10 +85,10 @@ ORACLES: dict[str, str] = {
           SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS fills,
                  sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total FROM per),
         leveled AS (
-          SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+          SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER (ORDER BY fills, source NULLS LAST) AS place
           FROM filled WINDOW b AS (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         budgets AS (
-          SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= fills THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target FROM leveled),
+          SELECT source, source_size, least(cap, coalesce((SELECT level FROM leveled WHERE level <= fills ORDER BY place LIMIT 1), 'inf'::DOUBLE) * w) AS target FROM leveled),
         keyed AS (
           SELECT s.doc_id, s.size, b.source, b.source_size, b.target, CAST(floor(b.target) AS BIGINT) AS budget,
                  CASE WHEN b.source_size = 0 THEN 0 ELSE least(CAST(floor(b.target) AS BIGINT) // b.source_size, 2) END AS whole

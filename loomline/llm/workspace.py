@@ -41,17 +41,18 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a Parquet table, read back with its own schema."""
-        path = f"{self.path}/{name}"
+        """``df`` as a Parquet table, read back with its own schema. A name that is used again gets a table of its own."""
+        path = self.paths[name] = f"{self.path}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+        """Delete the last table of this name, which no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
