@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,14 @@ def build_session(master: str | None = None, app: str = "loomline", shuffle_part
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it wherever the driver runs."""
+    context = spark.sparkContext
+    if getattr(context, "_loomline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='loomline-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(made)
+    context._loomline_shipped = True
