@@ -175,11 +175,14 @@ def exact_groups(docs: DataFrame, batch: Column, work: Workspace) -> DataFrame:
 
 def exact_unique(docs: DataFrame, batch: Column, work: Workspace) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    kept = work.write(exact_groups(docs, batch, work).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
-    key = F.struct(F.col("doc_id").cast("long").alias("_id"), F.sha2(normalised(F.col("text")), 256).alias("_sha"))
+    kept = work.write(exact_groups(docs, batch, work).where("kept").select(F.struct("doc_id", "text_sha256").alias("kept")), "kept")
     once = kept.distinct()
-    left = docs.join(once.withColumn("_key", F.struct("_id", "_sha")).select("_key"), key.eqNullSafe(F.col("_key"))).drop("_key")
-    return left if kept.count() == once.count() else left.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    # The row as one value: no column of its own can clash with the key's.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    left = rows.join(once, F.col("key").eqNullSafe(F.col("kept")), "left_semi")
+    left = left if kept.count() == once.count() else left.dropDuplicates(["key"])
+    return left.select("row.*")
 
 
 def arrivals() -> Column:

@@ -349,5 +349,6 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
 
 def one_of_each(docs: DataFrame, work: Workspace) -> DataFrame:
     """``docs`` with the smallest doc_id of each component, all columns kept; rows with a null doc_id stay."""
-    gone = similar_components(docs, work).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(work.write(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = similar_components(docs, work).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(work.write(gone, "gone"), F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -91,19 +91,23 @@ def mixed(docs: DataFrame, work: Workspace, share: float = SHARE, most: int = MO
 
     Rows that repeat both doc_id and text share the other columns of one of them.
     """
-    taken = mixture(docs, work, share, most, weights).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "size", "taken")
-    parts = work.write(taken.groupBy("_id", "_print").agg(F.max("size").alias("_size"), F.collect_list("taken").alias("_taken"), F.count("*").alias("_rows"), F.sum("taken").alias("_sum")), "taken")
-    keyed = docs.withColumns({"_id2": F.col("doc_id").cast("long"), "_print2": F.xxhash64("text")})
-    if parts.where("_rows > 1").head(1):
-        keyed = keyed.dropDuplicates(["_id2", "_print2"])
-    used = parts.where("_sum > 0")
-    joined = keyed.join(used, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_print2") == F.col("_print")))
-    rounds = F.transform(F.filter("_taken", lambda t: t > 0), lambda t: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((t - 1) / F.col("_size"))), lambda i: F.least(F.col("_size"), t - i * F.col("_size"))))
-    whole = F.col("_words") >= F.col("_size")
-    out = joined.withColumn("_words", F.explode(F.flatten(rounds))).withColumn("text", F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col("_words"))))
+    taken = mixture(docs, work, share, most, weights)
+    parts = taken.groupBy("doc_id", "print").agg(F.max("size").alias("size"), F.collect_list("taken").alias("taken"), F.count("*").alias("n"), F.sum("taken").alias("sum"))
+    parts = work.write(parts.select(F.struct("doc_id", "print").alias("part"), "size", "taken", "n", "sum"), "parts")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"))
+    # The row as one value: no column of its own can clash with the others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    if parts.where("n > 1").head(1):
+        rows = rows.dropDuplicates(["key"])
+    joined = rows.join(parts.where("sum > 0"), F.col("key").eqNullSafe(F.col("part")))
+    size = F.col("size")
+    rounds = F.transform(F.filter("taken", lambda t: t > 0), lambda t: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((t - 1) / size)), lambda i: F.least(size, t - i * size)))
+    joined = joined.withColumn("words", F.explode(F.flatten(rounds)))
+    text = F.when(F.col("words") >= size, F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("words")))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("words") >= size, F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:

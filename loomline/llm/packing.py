@@ -47,7 +47,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if latin(word):
             out = b""
-            for part in PATTERN.findall(word):
+            for part in PATTERN.findall(word.lower()):
                 ids = self.parts.get(part)
                 if ids is None:
                     ids = self.parts[part] = self.encode(part)

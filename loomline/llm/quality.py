@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAM
     rows = rows.groupBy("_id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.md5(F.col("_id").cast("string"))).limit(sample)
     chosen = work.write(rows, "sample")
     # At most ``sample`` rows of two numbers, whatever the corpus.
-    found = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
     found = found.mapInArrow(_extract, "doc_id long, y double, dense array<float>, bucket array<int>, value array<float>")
     model = found.withColumn("one", F.col("y") * 0).groupBy("one").applyInPandas(_fit, "model binary").collect()
     return Machine.load(model[0].model) if model else Machine()

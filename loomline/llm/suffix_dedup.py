@@ -106,19 +106,23 @@ def _find(buckets: int):
     return find
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(hot: int):
     """(id, at, hot) of the anchors whose gram occurs more than once."""
-    grams, ids, at = [], [], []
-    for row in table.select(["block", "grams", "at", "per_doc"]).to_pylist():
-        per = np.frombuffer(row["per_doc"], np.uint32)
-        grams.append(np.frombuffer(row["grams"], np.uint64))
-        at.append(np.frombuffer(row["at"], np.uint32))
-        ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
-    gram, id_, place = np.concatenate(grams), np.concatenate(ids), np.concatenate(at)
-    _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-    count = count[inverse]
-    keep = count > 1
-    return pa.table({"id": id_[keep], "at": place[keep].astype(np.int64), "hot": count[keep] > HOT})
+
+    def repeated(table: pa.Table) -> pa.Table:
+        grams, ids, at = [], [], []
+        for row in table.select(["block", "grams", "at", "per_doc"]).to_pylist():
+            per = np.frombuffer(row["per_doc"], np.uint32)
+            grams.append(np.frombuffer(row["grams"], np.uint64))
+            at.append(np.frombuffer(row["at"], np.uint32))
+            ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
+        gram, id_, place = np.concatenate(grams), np.concatenate(ids), np.concatenate(at)
+        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+        count = count[inverse]
+        keep = count > 1
+        return pa.table({"id": id_[keep], "at": place[keep].astype(np.int64), "hot": count[keep] > hot})
+
+    return repeated
 
 
 PARTS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("weight", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
@@ -334,7 +338,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["sha", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, work: Workspace) -> DataFrame:
+def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of ``docs`` (doc_id, text).
 
     Removed is each byte that a string of LENGTH bytes covers which starts anywhere
@@ -343,7 +347,7 @@ def repeated_bytes(docs: DataFrame, work: Workspace) -> DataFrame:
     Of equal texts of at least LENGTH bytes nothing stays, and one of them stands
     for all. Only anchors whose gram repeats go on, with the string around them, to
     the bucket of their gram; there the strings are sorted both ways from the
-    anchor. Strings that repeat in a block travel once. Grams of more than HOT
+    anchor. Strings that repeat in a block travel once. Grams of more than ``hot``
     occurrences send prints of their windows instead, which are counted before and
     after the shuffle, so that no common passage gathers in one task.
 
@@ -355,7 +359,7 @@ def repeated_bytes(docs: DataFrame, work: Workspace) -> DataFrame:
     found = work.write(docs.mapInArrow(_find(width), FOUND_DDL), "anchors")
     info = found.where("id is not null").select("id", "doc_id", "sha", "n_bytes")
     packed = found.where("bucket is not null").select("bucket", "block", "grams", "at", "per_doc")
-    again = packed.groupBy("bucket").applyInArrow(_repeated, "id long, at long, hot boolean")
+    again = packed.groupBy("bucket").applyInArrow(_repeated(hot), "id long, at long, hot boolean")
     again = again.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("hot").alias("hot"))
     copies = work.write(info.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("doc_id", "id").alias("doc_id")), "copies")
     needed = work.write(copies.join(again, "id").select("id", "sha", "doc_id", "at", "hot"), "needed")

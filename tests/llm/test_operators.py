@@ -1,0 +1,417 @@
+"""The ten operators against brute force, on texts with nulls, empties, repeats, long texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loomline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, suffix_dedup, token_counts
+from loomline.llm.components import components
+from loomline.llm.workspace import Workspace
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size string, key int, _id string, bucket string, sha string, norm string, n long, y string"
+CLASH = (0, "s", 1, "i", "b", "h", "m", 5, "y")
+
+
+def corpus(seed: int = 1) -> list[tuple]:
+    """Copies, near copies, shared passages, strange white space, empties, a very long text, a null source and id."""
+    draw = random.Random(seed)
+    vocabulary = ["".join(draw.choice("abcdefgh éß") for _ in range(draw.randint(2, 7))).replace(" ", "o") for _ in range(400)]
+    text = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    base = [text(draw.randint(1, 150)) for _ in range(40)]
+    passage = text(60)
+    texts: list[str | None] = [*base, None, "", "   \n\t", "one", "One", "two words", "a b c d", "a  b\tc d", " lead", "trail ", "x   y", "<|endoftext|> z <|startoftext|>", "tab\x1csep \x85 \xa0nbsp　wide", "日本語 テスト Ελληνικά русский İstanbul ǅ ﬁ"]
+    texts += [base[0], base[0], base[1].replace(" ", "\n", 3), base[2].upper()]
+    for k in range(12):  # near copies of one text, in a chain
+        words = texts[5].split()
+        words[k % len(words)] = "changed"
+        texts.append(" ".join(words + ["tail"] * (k % 3)))
+    texts += [f"{text(10)} {passage} {text(12)}" for _ in range(6)]
+    texts += ["ab" * 300, text(9000), " ".join([passage] * 3)]
+    out = [(i, t, "en" if i % 7 else None, None if i % 5 == 0 else f"s{i % 4}", len(t or ""), *CLASH) for i, t in enumerate(texts)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+
+@pytest.fixture
+def work(spark):
+    return Workspace(spark, "test")
+
+
+def roots(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark, work):
+    draw = random.Random(3)
+    pairs = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(0, k) for k in range(400, 500)] + [(None, 1), (7, 7)]
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(pairs, "a long, b long"), work).collect()}
+    want = roots([(a, b) for a, b in pairs if a is not None], range(501))
+    assert got == {i: c for i, c in want.items() if i != c}
+    assert components(spark.createDataFrame([], "a long, b long"), work).count() == 0
+
+
+def test_near_vectors(spark, work):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(120, 16)).astype(np.float32)
+    x[40:60] = x[:20] + draw.normal(scale=0.08, size=(20, 16))
+    x[60:70] = x[0]
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors += [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, [float("inf")] + [0.0] * 15), (204, [None] + [1.0] * 15), (205, []), (206, [1.0, 2.0]), (207, [2.0, 4.0]), (208, [1e-40] * 16)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("rep", F.lit(1))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, work, tile=30).collect()}
+    links = set()
+    fine = [(i, np.array(v, float)) for i, v in vectors if v and None not in v and np.isfinite(v).all() and any(v)]
+    for i, a in fine:
+        for j, b in fine:
+            a_, b_ = a / np.abs(a).max(), b / np.abs(b).max()
+            if i < j and len(a) == len(b) and a_ @ b_ / np.sqrt((a_ @ a_) * (b_ @ b_)) >= 0.95:
+                links.add((i, j))
+    count = Counter(i for pair in links for i in pair)
+    want = roots(links, [i for i, _ in vectors])
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (count[i], c, c == i) for i, c in want.items()}
+    assert embedding_dedup.near_duplicates(df.limit(0), Workspace(spark, "test")).count() == 0
+
+
+def test_quantised_bounds_hold():
+    draw = np.random.default_rng(2)
+    x = embedding_dedup.unit(draw.normal(size=(300, 24)))
+    y = embedding_dedup.unit(x + draw.normal(scale=0.07, size=x.shape))
+    i, j, doubted = embedding_dedup.tile_links(embedding_dedup.Quantised(x), embedding_dedup.Quantised(y), 0.95, False)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(x @ y.T >= 0.95)), strict=True))
+    assert 0 < doubted < 300
+
+
+def test_language(spark, docs):
+    draw = random.Random(4)
+    words = {"aa": ["kala", "mati", "poru", "tesa"], "bb": ["schrift", "zwölf", "pfund", "knecht"], "ru": ["привет", "слово", "город", "весна"]}
+    say = lambda lang, n: " ".join(draw.choice(words[lang]) for _ in range(n))
+    table = [(k, say(lang, 12), lang) for k, lang in enumerate(list(words) * 20)]
+    model = language_id.train(spark.createDataFrame([*table, (99, None, "aa"), (98, "x", None)], "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "bb", "ru"]
+    mixed = f"{say('aa', 30)}. {say('bb', 40)} {say('ru', 10)}"
+    asked = spark.createDataFrame([(1, mixed), (2, None), (3, "123 !?"), (4, ""), (5, say("ru", 1)), (1, say("aa", 3))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.predict(asked, model).collect())
+    assert [g[:2] for g in got] == [(1, "aa"), (1, "bb"), (2, "und"), (3, "und"), (4, "und"), (5, "ru")]
+    assert all(0 <= g[2] <= 1 for g in got) and got[1][2] < 1
+    spans = sorted((r.start, r.end, r.lang) for r in language_id.language_spans(asked.where(F.col("text") == mixed), model).collect())
+    assert [s[2] for s in spans] == ["aa", "bb", "ru"]
+    assert spans[0][:2] == (0, mixed.index(".")) and spans[-1][1] == len(mixed)
+    empty = language_id.train(docs.limit(0))
+    assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+
+
+def test_viterbi_is_exact():
+    draw = np.random.default_rng(1)
+    scores = draw.normal(size=(60, 3)) * 3
+    bounds = np.array([0, 7, 7, 30, 31, 60])
+    got = language_id.viterbi(scores, bounds[:-1], bounds[1:], 4.0)
+    worth = lambda s, path: sum(s[k, p] for k, p in enumerate(path)) - 4.0 * sum(a != b for a, b in zip(path, path[1:]))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        best = {k: (scores[a, k], (k,)) for k in range(3)} if b > a else {}
+        for t in range(a + 1, b):
+            best = {k: max((v - 4.0 * (k != p[-1]) + scores[t, k], (*p, k)) for v, p in best.values()) for k in range(3)}
+        if best:
+            assert worth(scores[a:b], got[a:b]) == pytest.approx(max(v for v, _ in best.values()))
+            top, firm = language_id.steady(scores[a:b], np.array([0]), np.array([b - a]), 4.0)
+            if firm[0]:
+                assert worth(scores[a:b], [top[0]] * (b - a)) == pytest.approx(max(v for v, _ in best.values()))
+
+
+def test_token_counts(docs, rows, work):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.over_limit(docs, work).collect()}
+    want = {}
+    for i, t, _ in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want[i] = (len((t or "").encode()), n, n > 512)
+    assert got == want
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_pre_tokens_encode_alone():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(9)
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "Bc", "é", " ", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", ".", "!?", " ", "\x85", "\x1d", "　", "日", "<|endoftext|>"]) for _ in range(draw.randint(0, 14)))
+        first, rest = token_counts.pre_tokens(text, ("<|endoftext|>",))
+        parts = [first, *[f" {w}" for w in rest]]
+        assert "".join(parts) == text
+        assert sum(len(library.encode(p, add_special_tokens=False).ids) for p in parts if p) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_words_encode_alone():
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    words = packing.Words(packing.VOCABULARY)
+    draw = random.Random(8)
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "BC", "É", " ", "  ", "\n", "'s", "'LL", "1", "23", ".", "!?", " ", "\x85", "\x1d", "日本", "Σ", "İ", "é", "<|endoftext|>", "µß"]) for _ in range(draw.randint(0, 14)))
+        assert np.frombuffer(words.document(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing(docs, rows, work):
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    got = packing.packed(docs, work).collect()
+    by, places = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+        places[r.sequence_id].append((r.offset, r.length))
+    for i, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        parts = sorted(by[i], key=lambda r: r.piece)
+        assert [r.piece for r in parts] == list(range(-(-len(ids) // 2048)))
+        for r in parts:
+            piece = np.array(ids[r.piece * 2048 : (r.piece + 1) * 2048], "<u4")
+            assert (r.start, r.length, r.ids_crc32) == (r.piece * 2048, len(piece), zlib.crc32(piece.tobytes()))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.packed(docs.limit(0), work).count() == 0
+
+
+def test_packer_is_best_fit_with_bounded_bins():
+    draw = random.Random(6)
+    packer, open_, made = packing.Packer(50, 4), {}, 0
+    for _ in range(2000):
+        n = draw.randint(1, 50)
+        fits = [f for f in open_.values() if f >= n]
+        bin_, offset = packer.place(n)
+        if fits:
+            assert 50 - offset == min(fits) == open_[bin_]
+        else:
+            assert (bin_, offset) == (made, 0)
+            made += 1
+            if n < 50 and len(open_) == 4:
+                fullest = min(open_.values())
+                gone = next(b for b, f in open_.items() if f == fullest and b not in sum(packer.bins, []))
+                del open_[gone]
+        open_[bin_] = 50 - offset - n
+        if not open_[bin_]:
+            del open_[bin_]
+        assert packer.opened == len(open_) <= 4
+
+
+def level(sizes, share=1.5, most=2, weights=(3, 1, 2)):
+    """Targets by refilling in a loop."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    total, full = share * sum(sizes.values()), set()
+    while True:
+        left, open_ = total - sum(most * sizes[s] for s in full), [s for s in order if s not in full]
+        over = [s for s in open_ if left * w[s] / sum(w[x] for x in open_) > most * sizes[s]]
+        if not over:
+            break
+        full |= set(over)
+    return {s: most * sizes[s] if s in full else left * w[s] / sum(w[x] for x in open_) for s in order}
+
+
+def test_mixing(docs, rows, work):
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += count(t)
+    want = level(sizes)
+    got = mixing.mixture(docs, work).collect()
+    assert {r.doc_id: r.size for r in got} == {i: count(t) for i, t, _ in rows}
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+    assert {s: int(want[s] + 1e-6) for s in want} == dict(taken)
+    again = {(r.doc_id, r.taken) for r in mixing.mixture(docs.repartition(5), Workspace(work.spark, "test")).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+    out = mixing.mixed(docs, work)
+    assert out.columns == docs.columns
+    words = Counter()
+    for r in out.collect():
+        words[r.source] += count(r.text)
+        assert r.n_chars == len(r.text or "")
+    assert +words == +taken
+    assert mixing.mixture(docs.limit(0), work).count() == 0 and mixing.mixed(docs.limit(0), work).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1000, "b": 1, "c": 1, "d": 5}, {"a": 0, "b": 7, None: 3}, {"a": 5}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got == {s: pytest.approx(t) for s, t in level(sizes).items()}
+
+
+def test_repeated_bytes(docs, rows, work, spark):
+    texts = [(t or "").encode() for _, t, _ in rows]
+    seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = {}
+    for (i, _, _), t in zip(rows, texts, strict=True):
+        covered = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                covered[k : k + 200] = True
+        want[i] = (len(t), int(covered.sum()), int((np.diff(covered.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(b for b, c in zip(t, covered) if not c)).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs, work).collect()}
+    assert got == want
+    assert sum(w[1] for w in want.values()) > 1000
+    assert suffix_dedup.repeated_bytes(docs.limit(0), Workspace(spark, "test")).count() == 0
+
+
+def test_repeated_bytes_of_hot_grams(docs, spark):
+    """Whole windows instead of sorted strings give the same."""
+    plain = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs, Workspace(spark, "test")).collect()}
+    hot = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs, Workspace(spark, "test"), hot=1).collect()}
+    assert hot == plain
+
+
+def test_deep_shallow_sorts():
+    draw = random.Random(2)
+    strings = list({b"k" * 20 + bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 40))) for _ in range(400)} | {b"", b"k", b"ab\0", b"ab"})
+    order, lcp = suffix_dedup.deep_shallow(strings, 8)
+    ordered = [strings[k] for k in order]
+    assert ordered == sorted(strings)
+    assert lcp.tolist()[1:] == [suffix_dedup.common(a, b) for a, b in zip(ordered, ordered[1:])]
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_jaccard(docs, rows, work, spark):
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = roots(links, sets)
+    found = jaccard_join.similar_components(docs, work)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert len(links) > 5
+    kept = jaccard_join.one_of_each(docs, Workspace(spark, "test"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
+    assert jaccard_join.similar_components(docs.limit(0), Workspace(spark, "test")).count() == 0
+
+
+def test_segments_never_miss_a_link():
+    """Random pairs at the threshold always share a key, whatever counts as frequent."""
+    draw = np.random.default_rng(3)
+    heavy = draw.random(jaccard_join.COUNTERS) < 0.5
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 12, 17, 31, 40, 65, 127, 130, 300, 1100]:
+        for _ in range(30):
+            base = np.unique(draw.integers(0, 1 << 63, 2 * n + 2, np.uint64))
+            a = base[:n]
+            most = (2 * n) // 7
+            gone = int(draw.integers(0, most + 1))
+            added = int(draw.integers(0, n))
+            b = np.sort(np.concatenate([a[gone:], base[n : n + added]]))
+            if not len(b) or not jaccard_join.linked(a, b):
+                continue
+            keys = []
+            for s in (a, b):
+                bounds = np.array([0, len(s)])
+                keys.append(set(np.concatenate([jaccard_join.segment_keys(s, bounds, heavy, up)[0] for up in (0, 1)]).tolist()))
+            assert keys[0] & keys[1]
+            left, right = (jaccard_join.folded(s, np.array([0, len(s)]))[0] for s in (a, b))
+            assert jaccard_join.apart(left, right) <= len(np.setxor1d(a, b))
+
+
+def test_quality(spark, docs, work):
+    draw = random.Random(7)
+    words = ["river", "stone", "light", "garden", "winter", "letter"]
+    good = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(10, 60))).capitalize() + "."
+    bad = lambda: " ".join(draw.choice(words).upper() + "!!" for _ in range(draw.randint(10, 60)))
+    table = [(k, good() if k % 3 else bad(), int(k % 3 > 0)) for k in range(600)]
+    texts = spark.createDataFrame([(k, t) for k, t, _ in table] + [(9001, None), (9002, ""), (9003, "x")], "doc_id long, text string").withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in table] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.held_out_quality(texts, labels, work).collect()}
+    assert len(got) == 603 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(got[k].predicted, q) for k, _, q in table if got[k].held_out]
+    assert sum(p == q for p, q in held) / len(held) > 0.97
+    kept = quality.accepted(texts, labels, Workspace(spark, "test"))
+    assert kept.columns == texts.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
+    assert quality.held_out_quality(docs.limit(0), labels, Workspace(spark, "test")).count() == 0
+    assert all(0 <= r.score <= 1 for r in quality.held_out_quality(docs, labels.limit(0), Workspace(spark, "test")).collect())
+
+
+def test_pairs_by_the_sum_of_squares_identity():
+    machine = quality.Machine()
+    machine.v[:] = np.random.default_rng(1).normal(size=machine.v.shape)
+    feature, x = np.array([3, 9, 70]), np.array([0.5, -1.0, 2.0], np.float32)
+    out, _ = machine.raw(np.zeros(3, int), feature, x, 1)
+    pairs = sum(machine.v[feature[i]] @ machine.v[feature[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert out[0] == pytest.approx(pairs, rel=1e-4)
+
+
+def test_licenses(spark, docs):
+    notice = license_scan.TEMPLATES["mit-text"]
+    broken = notice.replace("publish,", "").replace("PERSONS", "x")
+    table = [(1, f"code {notice} more"), (2, "x. ALL RIGHTS   reserved"), (3, "all rights are reserved"), (4, None), (5, ""), (6, f"{'pad ' * 3000} {broken}"), (7, "Released under the MIT License. z " * 2), (7, "licensed under cc by-nc 4.0")]
+    got = {(r.doc_id, r.license): r for r in license_scan.license_scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "mit-text"), (2, "rights-reserved"), (6, "mit-text"), (7, "mit"), (7, "cc-by-nc-4.0")}
+    assert got[1, "mit-text"].containment == 1 and got[1, "mit-text"].first_word == 1 and 0.75 <= got[6, "mit-text"].containment < 1
+    assert got[7, "mit"].n_places == 2
+    assert license_scan.license_scan(docs.limit(0)).count() == 0 and license_scan.license_scan(docs, {}).count() == 0
+
+
+def test_exact(docs, rows, work, spark):
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, _ in rows}
+    groups = defaultdict(list)
+    for i, t in norm.items():
+        groups[t].append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs, exact_dedup.arrivals(), work).collect()}
+    assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items()}
+    twice = docs.union(docs.limit(5)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = exact_dedup.exact_unique(twice, exact_dedup.arrivals(), Workspace(spark, "test"))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups.values())
+    assert exact_dedup.exact_groups(docs.limit(0), exact_dedup.arrivals(), Workspace(spark, "test")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 50_000])
+def test_binary_fuse(n):
+    draw = np.random.default_rng(n)
+    keys = draw.integers(0, 1 << 63, n, np.uint64)
+    built = exact_dedup.BinaryFuse.load(*exact_dedup.BinaryFuse.build(keys).dump())
+    assert built.holds(keys).all()
+    if n >= 1000:
+        assert built.holds(draw.integers(0, 1 << 63, 20_000, np.uint64)).mean() < 0.01
+        assert len(built.table) < 2.2 * n + 3000
+
+
+def test_repeated_and_null_ids(spark):
+    """All operators keep a row for each row, with ids that repeat or are null."""
+    text = "some words that are here to be read by all of us today"
+    df = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (1, text + " x", None), (None, text, "s"), (2, None, None)], "doc_id long, text string, source string")
+    work = lambda: Workspace(spark, "test")
+    assert token_counts.token_counts(df).count() == 5
+    assert packing.packed(df, work()).count() == 5
+    assert mixing.mixture(df, work()).count() == 5
+    assert exact_dedup.exact_groups(df, exact_dedup.arrivals(), work()).count() == 5
+    assert jaccard_join.similar_components(df, work()).count() == 5
+    assert suffix_dedup.repeated_bytes(df, work()).count() == 5
+    assert mixing.mixed(df, work()).count() >= 1
