@@ -18,6 +18,8 @@ SHINGLE = 5
 COUNTERS = 1 << 20
 PARTS = 16
 BLOCK = 6_000_000
+CLUSTER = 8_192
+FILTER = 1 << 23
 
 #: By byte: white space that parts words.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -57,6 +59,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def prints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128 bits of each set, the same for equal sets."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])
+    other = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
+    both = np.stack([total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]], 1)
+    return [row.tobytes() for row in both]
+
+
 def band(n: np.ndarray) -> np.ndarray:
     """Sizes [2**j, 2**(j+1)) make up band j."""
     return np.log2(np.maximum(n, 1) + 0.5).astype(np.int64)
@@ -65,7 +75,7 @@ def band(n: np.ndarray) -> np.ndarray:
 def folded(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Each set's parity sketch: a bit per hash value modulo its length, flipped by every shingle that falls on it."""
     n = np.diff(bounds)
-    bits = np.maximum(64, 2 << band(n))
+    bits = np.maximum(64, 4 << band(n))
     at = np.concatenate([[0], np.cumsum(bits)])
     doc = np.repeat(np.arange(len(n)), n)
     flips = np.bincount(at[doc] + (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1
@@ -177,13 +187,11 @@ def _sketch(held, buckets: int):
                 ids = some.column("doc_id").to_pylist()
                 h, bounds = shingles(some.column("text").to_pylist())
                 n = np.diff(bounds)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])
-                other = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
-                prints = np.stack([total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]], 1)
+                print_of = prints(h, bounds)
                 seen, rows, fresh = {}, [], np.zeros(len(n), bool)
                 sketches = folded(h, bounds)
                 for d, doc_id in enumerate(ids):
-                    print_ = prints[d].tobytes() if n[d] else None
+                    print_ = print_of[d] if n[d] else None
                     fresh[d] = bool(n[d]) and seen.setdefault(print_, d) == d
                     rows.append({"id": (block << 20) | d, "doc_id": doc_id, "n": int(n[d]), "print": print_, "sketch": sketches[d] if fresh[d] else None})
                 yield pa.RecordBatch.from_pylist(rows, SKETCHES)
@@ -208,28 +216,20 @@ def _sketch(held, buckets: int):
     return sketch
 
 
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64())])
-
-
 def _meet(table: pa.Table) -> pa.Table:
-    """Of each key that several sets have: links of all to the first, and for three or more the members of the group."""
+    """Links of all sets that share a key to the first of them, each once."""
     keys, ids = [], []
     for row in table.select(["block", "keys", "per_doc"]).to_pylist():
         per = np.frombuffer(row["per_doc"], np.uint16)
         keys.append(np.frombuffer(row["keys"], np.uint64))
         ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
     key, id_ = np.concatenate(keys), np.concatenate(ids)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort([id_, key])
     key, id_ = key[order], id_[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([first, [len(key)]]))
-    many = np.repeat(size, size) > 1
-    star = np.repeat(id_[first], size)[many]
-    pairs = np.unique(np.stack([star, id_[many]], 1)[star != id_[many]], axis=0)
-    large = np.repeat(size, size) > 2
-    members = np.stack([id_[large], np.repeat(key[first], size)[large].view(np.int64)], 1)
-    none = np.full(len(members), -1, np.int64)
-    return pa.table({"a": np.concatenate([pairs[:, 0], members[:, 0]]), "b": np.concatenate([pairs[:, 1], none]), "group": np.concatenate([np.zeros(len(pairs), np.int64), members[:, 1]])}, schema=MET)
+    star = np.repeat(id_[first], np.diff(np.concatenate([first, [len(key)]])))
+    pairs = np.unique(np.stack([star, id_], 1)[star != id_], axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def near(a: DataFrame, infos: DataFrame) -> DataFrame:
@@ -250,11 +250,43 @@ def near(a: DataFrame, infos: DataFrame) -> DataFrame:
     return joined.mapInArrow(judge, "a long, b long, d long")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for some in slices(batch, BLOCK):
-            h, bounds = shingles(some.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "set"])
+def _sets(held):
+    """Shingle sets of the documents whose bit is set."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            for some in slices(batch, BLOCK):
+                h, bounds = shingles(some.column("text").to_pylist())
+                found = [h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(prints(h, bounds), pa.binary()), pa.array(found, pa.binary())], ["doc_id", "print", "set"])
+
+    return sets
+
+
+def _bits(table: pa.Table) -> pa.Table:
+    part = table.column("part")[:1]
+    bits = np.zeros(FILTER // PARTS, np.uint8)
+    bits[table.column("place").to_numpy() % (FILTER // PARTS)] = 1
+    return pa.table({"part": part, "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, infos: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(id, set) for the given ids, from the texts again.
+
+    A filter of FILTER bits keeps the texts from being shuffled: tasks make sets of
+    documents whose bit is set, and the exact join is of sets alone. A full filter
+    would only make more sets than needed.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    needed = work.write(ids.distinct().join(infos.select("id", "doc_id", "print"), "id"), f"{name}-needed")
+    places = needed.select(place("doc_id").alias("place")).distinct().withColumn("part", F.floor(F.col("place") / (FILTER // PARTS)).cast("int"))
+    parts = {r.part: r.bits for r in places.groupBy("part").applyInArrow(_bits, "part int, bits binary").collect()}
+    held = docs.sparkSession.sparkContext.broadcast(b"".join(parts.get(k, bytes(FILTER // PARTS // 8)) for k in range(PARTS)))
+    made = docs.where("doc_id is not null").withColumn("place", place("doc_id")).mapInArrow(_sets(held), "doc_id long, print binary, set binary")
+    return work.write(needed.join(made, ["doc_id", "print"]).select("id", "set"), f"{name}-sets")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,48 +295,72 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, infos: DataFrame, work: Workspace, name: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, work: Workspace, name: str) -> DataFrame:
     """The pairs whose shingle sets meet the threshold exactly."""
-    pairs = work.write(pairs.select("a", "b"), f"{name}-pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(infos.select("id", "doc_id"), "id").groupBy("doc_id").agg(F.min("id").alias("id"))
-    needed = work.write(needed.withColumnRenamed("doc_id", "_doc"), f"{name}-needed")
-    texts = docs.join(needed, F.col("doc_id") == F.col("_doc")).select("id", "text")
-    sets = work.write(texts.mapInArrow(_sets, "id long, set binary"), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return work.write(both.mapInArrow(_verify, "a long, b long"), f"{name}-links")
 
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, d) of each set one of the least distance."""
+    both = pairs.select("a", "b", "d").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    return both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
+def apart_in(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components (label: id, comp)."""
+    labelled = pairs.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a group whose members are in different components and whose sketches allow a link."""
-    x = table.to_pydict()
-    order = np.argsort(x["n"], kind="stable")
-    n, comp, id_ = (np.array(x[c])[order] for c in ("n", "comp", "id"))
-    sketch = [x["sketch"][k] for k in order]
-    a, b = [], []
-    for i in range(len(n)):
-        stop = int(np.searchsorted(3 * n, 4 * n[i], "right"))
-        rest = i + 1 + np.flatnonzero(comp[i + 1 : stop] != comp[i])
-        if len(rest):
-            least = len(sketch[i])
-            own = np.frombuffer(sketch[i], np.uint64)
-            other = np.stack([fold(sketch[k], least) for k in rest])
-            hit = rest[7 * np.bitwise_count(other ^ own).sum(1).astype(np.int64) <= n[i] + n[rest]]
-            a.append(np.full(len(hit), id_[i]))
-            b.append(id_[hit])
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
+    """Pairs of a cluster in different components whose sketches allow a link, for all clusters of a bucket, each once."""
+    low, p, q, part, comp, n, id_ = (table.column(c).to_numpy() for c in ("low", "p", "q", "part", "comp", "n", "id"))
+    order = np.lexsort([id_, n, q, p, low])
+    low, p, q, part, comp, n, id_ = (x[order] for x in (low, p, q, part, comp, n, id_))
+    sketches = table.column("sketch").to_pylist()
+    sketches = [sketches[k] for k in order.tolist()]
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+    pairs: dict[tuple[int, int], int] = {}
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
+        pairs.update(_cluster(n[s:e], comp[s:e], part[s:e] if p[s] != q[s] else np.arange(e - s), id_[s:e], sketches[s:e]))
+    flat = np.array([(a, b, d) for (a, b), d in sorted(pairs.items())], np.int64).reshape(-1, 3)
+    return pa.table({"a": flat[:, 0], "b": flat[:, 1], "d": flat[:, 2]})
+
+
+def _cluster(n: np.ndarray, comp: np.ndarray, part: np.ndarray, id_: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[tuple[int, int], int]]:
+    """((id, id), distance) of allowed pairs; members of the largest component only meet the others. ``n`` ascends."""
+    values, index, count = np.unique(comp, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(index != count.argmax())
+    minor = index != count.argmax()
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    folds: dict[int, np.ndarray] = {}
+    for i in others.tolist():
+        start, stop = int(np.searchsorted(4 * n, 3 * n[i], "left")), int(np.searchsorted(3 * n, 4 * n[i], "right"))
+        at = np.arange(start, stop)
+        at = at[(comp[start:stop] != comp[i]) & (part[start:stop] != part[i]) & (~minor[start:stop] | (at > i))]
+        for length in np.unique(np.minimum(size[at], size[i])).tolist():
+            if length not in folds:
+                folds[length] = np.stack([fold(x, length) if len(x) >= length else np.zeros(length // 8, np.uint64) for x in sketches])
+            some = at[np.minimum(size[at], size[i]) == length]
+            far = np.bitwise_count(folds[length][some] ^ folds[length][i]).sum(1).astype(np.int64)
+            hit = 7 * far <= n[i] + n[some]
+            for k, d in zip(some[hit].tolist(), far[hit].tolist(), strict=True):
+                yield (min(int(id_[i]), int(id_[k])), max(int(id_[i]), int(id_[k]))), d
 
 
 def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text).
 
     Documents with equal shingle sets form a class by a 128-bit print, and one of
-    each stands for it. Keys of sketch segments bring candidates together. Within a
-    key, all members are first compared with one of them, and each set takes its
-    nearest candidate to an exact check; what these links join needs no further
-    check. Only pairs of a key that are still in different components, and whose
-    sketches allow a link, are checked one by one. So a group of many near copies
-    costs its size, not its square, and no link between components is lost.
+    each stands for it. Sets that share a segment's key make up a cluster around
+    the first of them. Each set's nearest link to such a first one is checked
+    exactly. What is then joined needs no further check; in clusters that still
+    hold several components, all pairs across these are compared by sketch, those
+    within the bound are checked, each set's nearest first, then what is still
+    apart. So many near copies of one text cost about their number, and no link
+    between components is lost. Clusters of more than CLUSTER members are compared
+    in parts, two at a time.
 
     Null text and text without words have no shingles and link with nothing. Rows
     with a null doc_id have a null component. Repeated doc_ids share a component
@@ -319,24 +375,27 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     rows = made.where("id is not null").select("id", "doc_id", "n", "print", "sketch")
     infos = rows.where("sketch is not null and doc_id is not null")
     packed = made.where("bucket is not null").select("bucket", "block", "keys", "per_doc")
-    met = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long, group long"), "met")
-    stars = near(met.where("b >= 0").select("a", "b").distinct(), infos)
-    stars = work.write(stars, "near")
-    both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    nearest = both.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b")).distinct()
-    links = verified(nearest, docs, infos, work, "first")
-    joined = components(links, work, "first-cc").withColumnRenamed("component_id", "comp")
-    place = infos.join(joined, "id", "left").select("id", "n", "sketch", F.coalesce("comp", "id").alias("comp"))
-    place = work.write(place, "placed")
-    label = place.select("id", "comp")
-    rest = stars.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
-    rest = rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    members = met.where("b < 0").select(F.col("a").alias("id"), "group").join(label, "id")
-    mixed = members.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("group")
-    members = members.join(mixed, "group").drop("comp").join(place, "id")
-    across = members.groupBy("group").applyInArrow(_across, "a long, b long")
-    more = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = links.union(verified(more, docs, infos, work, "second"))
+    stars = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
+    tested = work.write(nearest(near(stars, infos)), "first-pairs")
+    sets = sets_of(tested.select(F.col("a").alias("id")).union(tested.select("b")), docs, infos, work, "first")
+    links = verified(tested, sets, work, "first")
+    label = work.write(components(links, work, "first-cc").withColumnRenamed("component_id", "comp"), "first-labels")
+    members = stars.select(F.col("a").alias("low"), F.col("b").alias("id")).union(stars.select(F.col("a").alias("low"), F.col("a")).distinct())
+    members = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = members.groupBy("low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
+    mixed = mixed.select("low", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts"))
+    dealt = members.join(mixed, "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(4 * width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
+    more = dealt.groupBy("bucket").applyInArrow(_across, "a long, b long, d long").distinct().join(tested, ["a", "b"], "left_anti")
+    more = work.write(more, "more")
+    if more.head(1):
+        sets = sets_of(more.select(F.col("a").alias("id")).union(more.select("b")), docs, infos, work, "second")
+        second = work.write(nearest(more), "second-pairs")
+        links = work.write(links.union(verified(second, sets, work, "second")), "links")
+        label = components(links, work, "second-cc").withColumnRenamed("component_id", "comp")
+        rest = work.write(apart_in(more.join(second, ["a", "b"], "left_anti"), label), "third-pairs")
+        links = links.union(verified(rest, sets, work, "third"))
     name = rows.select("id", "doc_id")
     by_doc = links.join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = rows.where("print is not null and doc_id is not null")
