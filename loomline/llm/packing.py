@@ -24,7 +24,7 @@ WINDOW = 2048
 OPEN_BINS = 1024
 END = 0
 STREAM = 50_000
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # The vocabulary's splitting pattern, and characters that Python's split() takes for white space but the pattern doesn't.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -46,17 +46,25 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if latin(word):
-            out = b""
-            for part in PATTERN.findall(word.lower()):
-                ids = self.parts.get(part)
-                if ids is None:
-                    ids = self.parts[part] = self.encode(part)
-                out += ids
+            low = word.lower()
+            if low.isalpha():
+                parts = [low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                parts = [low[:-1], low[-1]]
+            else:
+                parts = PATTERN.findall(low)
+            out = b"".join([self.part(p) for p in parts])
         else:
             out = self.encode(word)
         self[word] = out
         return out
 
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = self.encode(part)
+        return ids
+
     def document(self, text: str) -> bytes:
         """Ids of a whole text. White space only parts words here and lower case is by character, so words encode alone."""
         if any(s in text for s in self.special) or NOT_WHITE.search(text):
