@@ -28,8 +28,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 AWKWARD = re.compile(f" (?:[{WHITE}]|\\Z)")
 STARTS = re.compile(f" (?=[^{WHITE}])")
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("per_doc", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
-BLOCK_DDL = "bucket int, block long, ids array<long>, n_bytes array<long>, words array<string>, per_doc binary, word binary, freq binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("kinds", pa.string()), ("per_doc", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
+BLOCK_DDL = "bucket int, block long, ids array<long>, n_bytes array<long>, words array<string>, kinds string, per_doc binary, word binary, freq binary"
 SUMS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sums", pa.binary())])
 
 
@@ -103,17 +103,15 @@ def _pack(part: pa.RecordBatch, special: tuple[str, ...], number: int, buckets:
         if b and ends[b] == ends[b + 1]:
             continue
         head = b == 0  # one row of a block carries its documents
-        yield pa.RecordBatch.from_pylist(
-            [
-                {
-                    "bucket": b, "block": number,
-                    "ids": part.column("doc_id").to_pylist() if head else None, "n_bytes": lengths if head else None,
-                    "words": table.take(pa.array(own[own_ends[b] : own_ends[b + 1]])).to_pylist(),
-                    "per_doc": np.bincount(doc[at], minlength=len(sizes)).astype(np.uint32).tobytes(), "word": local[word[at]].tobytes(), "freq": freq[at].tobytes(),
-                }
-            ],
-            BLOCK,
-        )
+        parts = [narrow(x) for x in (np.bincount(doc[at], minlength=len(sizes)), local[word[at]], freq[at])]
+        row = {"bucket": b, "block": number, "ids": part.column("doc_id").to_pylist() if head else None, "n_bytes": lengths if head else None}
+        row |= {"words": table.take(pa.array(own[own_ends[b] : own_ends[b + 1]])).to_pylist(), "kinds": " ".join(x.dtype.str for x in parts)}
+        yield pa.RecordBatch.from_pylist([row | dict(zip(("per_doc", "word", "freq"), (x.tobytes() for x in parts), strict=True))], BLOCK)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def _count(path: str):
@@ -129,8 +127,8 @@ def _count(path: str):
                     some = new[at : at + 5000]
                     pieces.update(zip(some, (len(e) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
                 each = np.fromiter(map(pieces.__getitem__, row["words"]), np.int64, len(row["words"]))
-                per_doc = np.frombuffer(row["per_doc"], np.uint32)
-                tokens = each[np.frombuffer(row["word"], np.uint32)] * np.frombuffer(row["freq"], np.uint32)
+                per_doc, word, freq = (np.frombuffer(row[c], kind) for c, kind in zip(("per_doc", "word", "freq"), row["kinds"].split(), strict=True))
+                tokens = each[word] * freq
                 sums = np.bincount(np.repeat(np.arange(len(per_doc)), per_doc), tokens, len(per_doc)).astype(np.int64)
                 yield pa.RecordBatch.from_pylist([{"block": row["block"], "ids": row["ids"], "n_bytes": row["n_bytes"], "sums": sums.tobytes()}], SUMS)
 
