@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cosine, page_text, page_title
-from ..operators import as_of_join, distinct_on, interval_join, qualify, top_per_group
+from ..operators import as_of_join, distinct_on, interval_join, nearest_neighbours, qualify, top_per_group
 from ..session import ship
 from ..sources import read, round_trip, write_partitioned
 
@@ -74,7 +74,9 @@ def sketches(spark: SparkSession, d: str) -> DataFrame:
         F.countDistinct("l_orderkey").alias("exact"),
         F.approx_count_distinct("l_orderkey", 0.02).alias("approx"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(14))).alias("hll"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(l_orderkey, 14))").alias("theta"),
         F.percentile_approx("l_extendedprice", 0.5, F.lit(10000)).alias("median"),
+        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D)").alias("kll_median"),
         F.expr("approx_top_k(l_linenumber, 3)").alias("frequent"),
         F.histogram_numeric("l_quantity", F.lit(10)).alias("bins"),
     )
@@ -84,7 +86,7 @@ def sketch_errors(spark: SparkSession, d: str) -> DataFrame:
     """Whether the approximate distinct counts are within five per cent of the exact ones."""
     found = sketches(spark, d)
     near = lambda c: F.abs(F.col(c) - F.col("exact")) <= F.col("exact") * 0.05
-    return found.select("l_returnflag", "exact", near("approx").alias("approx_near"), near("hll").alias("hll_near"))
+    return found.select("l_returnflag", "exact", near("approx").alias("approx_near"), near("hll").alias("hll_near"), near("theta").alias("theta_near"), (F.abs(F.col("kll_median") - F.col("median")) <= F.col("median") * 0.1).alias("medians_near"))
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +106,20 @@ def centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vectors.join(mean, "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("mean")), 6).alias("similar"))
 
 
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest of every twentieth vector, against all vectors."""
+    found = nearest_neighbours(read(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", 10)
+    return found.select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as items of a feed and parsed again."""
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    item = F.concat(F.lit("<item><title>Page "), F.col("page_id"), F.lit("</title><link>"), escaped, F.lit("</link></item>"))
+    parsed = read(spark, d, "pages").select("page_id", F.from_xml(item, "title string, link string").alias("item"))
+    return parsed.select("page_id", "item.title", "item.link")
+
+
 def scalar_udf(spark: SparkSession, d: str) -> DataFrame:
     """A vectorised function by column: share of upper-case letters of a name."""
 
@@ -183,10 +199,17 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         as_of,
         "select a.event_id, a.user_id, a.ts, b.event_id as click_event_id, b.value as click_value from (select * from events where event_type = 'purchase') a asof left join (select * from events where event_type = 'click') b on a.user_id = b.user_id and a.ts >= b.ts",
     ),
-    "b21_b22_sketches": (sketch_errors, "select l_returnflag, count(distinct l_orderkey) as exact, true as approx_near, true as hll_near from lineitem group by 1"),
+    "b21_b22_sketches": (sketch_errors, "select l_returnflag, count(distinct l_orderkey) as exact, true as approx_near, true as hll_near, true as theta_near, true as medians_near from lineitem group by 1"),
     "b26_qualify": (qualified, "select event_id, user_id, event_type from events qualify count(*) over (partition by user_id, event_type) >= 15"),
     "b27_distinct_on": (first_orders, "select distinct on (o_custkey) o_custkey, o_orderkey, o_orderdate from orders order by o_custkey, o_orderdate, o_orderkey"),
     "b27_top_per_group": (top_orders, "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
+    "d02_vector_search": (
+        vector_search,
+        """select query, neighbour, round(s, 6) as similarity from (
+             select a.vec_id as query, b.vec_id as neighbour, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s
+             from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) qualify row_number() over (partition by query order by s desc, neighbour) <= 10""",
+    ),
+    "d10_feed_items": (feed_items, "select page_id, 'Page ' || page_id as title, url as link from pages"),
     "b46_pandas_udf": (scalar_udf, "select p_partkey, round(len(regexp_replace(p_name, '[^A-Z]', '', 'g')) / len(p_name), 9) as share from part"),
     "b46_python_udf": (row_udf, "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') as initials from part"),
     "b46_table_function": (table_udf, "select p_partkey, cast(unnest(range(len(string_split(p_type, ' ')))) as int) as place, unnest(string_split(p_type, ' ')) as word from part"),

@@ -155,6 +155,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
                   last_day(o_orderdate) as ld, cast(date_trunc('month', o_orderdate) as timestamp) as mo, o_orderdate + interval '10' day as later,
                   strftime(o_orderdate, '%Y-%m-%d') as iso, epoch_us(o_orderdate) as us from orders""",
     ),
+    "d16_parse_dates": (
+        "select o_orderkey, cast(to_timestamp(date_format(o_orderdate, 'dd/MM/yyyy HH:mm'), 'dd/MM/yyyy HH:mm') as timestamp_ntz) as parsed, try_to_timestamp(o_orderpriority, 'yyyy') is null as unparsed from {orders}",
+        "select o_orderkey, strptime(strftime(o_orderdate, '%d/%m/%Y %H:%M'), '%d/%m/%Y %H:%M') as parsed, try_strptime(o_orderpriority, '%Y') is null as unparsed from orders",
+    ),
     "b34_array_functions": (
         """select vec_id, cast(size(filter(embedding, x -> x > 0)) as bigint) as positive, round(aggregate(transform(embedding, x -> cast(x as double) * x), 0D, (s, x) -> s + x), 5) as norm2,
                   round(cast(element_at(sort_array(embedding), 1) as double), 6) as least from {embeddings}""",
