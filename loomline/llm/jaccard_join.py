@@ -17,7 +17,7 @@ from .workspace import Workspace, shuffle_width
 SHINGLE = 5
 COUNTERS = 1 << 20
 PARTS = 16
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 CLUSTER = 8_192
 FILTER = 1 << 23
 
@@ -307,46 +307,64 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
-def apart_in(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components (label: id, comp)."""
-    labelled = pairs.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    return labelled.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a cluster in different components whose sketches allow a link, for all clusters of a bucket, each once."""
-    low, p, q, part, comp, n, id_ = (table.column(c).to_numpy() for c in ("low", "p", "q", "part", "comp", "n", "id"))
-    order = np.lexsort([id_, n, q, p, low])
-    low, p, q, part, comp, n, id_ = (x[order] for x in (low, p, q, part, comp, n, id_))
-    sketches = table.column("sketch").to_pylist()
-    sketches = [sketches[k] for k in order.tolist()]
-    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-    pairs: dict[tuple[int, int], int] = {}
-    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
-        pairs.update(_cluster(n[s:e], comp[s:e], part[s:e] if p[s] != q[s] else np.arange(e - s), id_[s:e], sketches[s:e]))
-    flat = np.array([(a, b, d) for (a, b), d in sorted(pairs.items())], np.int64).reshape(-1, 3)
-    return pa.table({"a": flat[:, 0], "b": flat[:, 1], "d": flat[:, 2]})
+def _across(best: bool):
+    """Pairs of a cluster in different components whose sketches allow a link, for all clusters of a bucket, each once.
 
+    With ``best``, of each member outside its cluster's largest component only the nearest.
+    """
 
-def _cluster(n: np.ndarray, comp: np.ndarray, part: np.ndarray, id_: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[tuple[int, int], int]]:
-    """((id, id), distance) of allowed pairs; members of the largest component only meet the others. ``n`` ascends."""
-    values, index, count = np.unique(comp, return_inverse=True, return_counts=True)
-    others = np.flatnonzero(index != count.argmax())
+    def across(table: pa.Table) -> pa.Table:
+        low, p, q, part, comp, n, id_ = (table.column(c).to_numpy() for c in ("low", "p", "q", "part", "comp", "n", "id"))
+        order = np.lexsort([id_, n, q, p, low])
+        low, p, q, part, comp, n, id_ = (x[order] for x in (low, p, q, part, comp, n, id_))
+        sketches = table.column("sketch").to_pylist()
+        sketches = [sketches[k] for k in order.tolist()]
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+        pairs: set[tuple[int, int]] = set()
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
+            pairs.update(_cluster(n[s:e], comp[s:e], part[s:e] if p[s] != q[s] else np.arange(e - s), id_[s:e], sketches[s:e], best))
+        flat = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return pa.table({"a": flat[:, 0], "b": flat[:, 1]})
+
+    return across
+
+
+def _cluster(n: np.ndarray, comp: np.ndarray, part: np.ndarray, id_: np.ndarray, sketches: list[bytes], best: bool) -> Iterator[tuple[int, int]]:
+    """Allowed pairs of ids; members of the largest component only meet the others. ``n`` ascends."""
+    _, index, count = np.unique(comp, return_inverse=True, return_counts=True)
     minor = index != count.argmax()
     size = np.fromiter(map(len, sketches), np.int64, len(sketches))
     folds: dict[int, np.ndarray] = {}
-    for i in others.tolist():
+    for i in np.flatnonzero(minor).tolist():
         start, stop = int(np.searchsorted(4 * n, 3 * n[i], "left")), int(np.searchsorted(3 * n, 4 * n[i], "right"))
         at = np.arange(start, stop)
-        at = at[(comp[start:stop] != comp[i]) & (part[start:stop] != part[i]) & (~minor[start:stop] | (at > i))]
+        at = at[(comp[start:stop] != comp[i]) & (part[start:stop] != part[i]) & (best | ~minor[start:stop] | (at > i))]
+        found, far_ = [], []
         for length in np.unique(np.minimum(size[at], size[i])).tolist():
             if length not in folds:
                 folds[length] = np.stack([fold(x, length) if len(x) >= length else np.zeros(length // 8, np.uint64) for x in sketches])
             some = at[np.minimum(size[at], size[i]) == length]
             far = np.bitwise_count(folds[length][some] ^ folds[length][i]).sum(1).astype(np.int64)
             hit = 7 * far <= n[i] + n[some]
-            for k, d in zip(some[hit].tolist(), far[hit].tolist(), strict=True):
-                yield (min(int(id_[i]), int(id_[k])), max(int(id_[i]), int(id_[k]))), d
+            found.append(some[hit])
+            far_.append(far[hit])
+        hits = np.concatenate([*found, at[:0]])
+        if best and len(hits):
+            hits = hits[[np.concatenate(far_).argmin()]]
+        for k in id_[hits].tolist():
+            yield min(int(id_[i]), k), max(int(id_[i]), k)
+
+
+def across(stars: DataFrame, label: DataFrame, infos: DataFrame, width: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of the clusters that hold more than one component (label: id, comp), each pair once."""
+    members = stars.select(F.col("a").alias("low"), F.col("b").alias("id")).union(stars.select(F.col("a").alias("low"), F.col("a")).distinct())
+    members = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = members.groupBy("low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
+    mixed = mixed.select("low", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts"))
+    dealt = members.join(mixed, "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(4 * width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
+    return dealt.groupBy("bucket").applyInArrow(_across(best), "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -356,8 +374,8 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     each stands for it. Sets that share a segment's key make up a cluster around
     the first of them. Each set's nearest link to such a first one is checked
     exactly. What is then joined needs no further check; in clusters that still
-    hold several components, all pairs across these are compared by sketch, those
-    within the bound are checked, each set's nearest first, then what is still
+    hold several components, pairs across these are compared by sketch, and those
+    within the bound are checked: each set's nearest first, then all that are still
     apart. So many near copies of one text cost about their number, and no link
     between components is lost. Clusters of more than CLUSTER members are compared
     in parts, two at a time.
@@ -380,22 +398,14 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     sets = sets_of(tested.select(F.col("a").alias("id")).union(tested.select("b")), docs, infos, work, "first")
     links = verified(tested, sets, work, "first")
     label = work.write(components(links, work, "first-cc").withColumnRenamed("component_id", "comp"), "first-labels")
-    members = stars.select(F.col("a").alias("low"), F.col("b").alias("id")).union(stars.select(F.col("a").alias("low"), F.col("a")).distinct())
-    members = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = members.groupBy("low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
-    mixed = mixed.select("low", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts"))
-    dealt = members.join(mixed, "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(4 * width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
-    more = dealt.groupBy("bucket").applyInArrow(_across, "a long, b long, d long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = work.write(more, "more")
-    if more.head(1):
-        sets = sets_of(more.select(F.col("a").alias("id")).union(more.select("b")), docs, infos, work, "second")
-        second = work.write(nearest(more), "second-pairs")
-        links = work.write(links.union(verified(second, sets, work, "second")), "links")
-        label = components(links, work, "second-cc").withColumnRenamed("component_id", "comp")
-        rest = work.write(apart_in(more.join(second, ["a", "b"], "left_anti"), label), "third-pairs")
-        links = links.union(verified(rest, sets, work, "third"))
+    for name, best in (("second", True), ("third", False)):
+        pairs = work.write(across(stars, label, infos, width, best).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+        if pairs.head(1):
+            sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, infos, work, name)
+            links = work.write(links.union(verified(pairs, sets, work, name)), f"{name}-all-links")
+            tested = tested.union(pairs)
+            if best:
+                label = work.write(components(links, work, "second-cc").withColumnRenamed("component_id", "comp"), "second-labels")
     name = rows.select("id", "doc_id")
     by_doc = links.join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = rows.where("print is not null and doc_id is not null")
