@@ -19,6 +19,8 @@ COUNTERS = 1 << 20
 PARTS = 16
 BLOCK = 3_000_000
 CLUSTER = 8_192
+#: At least so many buckets of keys: a bucket tells of a pair once, and with few buckets the pairs told grew with their number.
+BUCKETS = 128
 FILTER = 1 << 23
 
 #: By byte: white space that parts words.
@@ -363,7 +365,7 @@ def across(stars: DataFrame, label: DataFrame, infos: DataFrame, width: int, bes
     mixed = mixed.select("low", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts"))
     dealt = members.join(mixed, "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(4 * width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
     return dealt.groupBy("bucket").applyInArrow(_across(best), "a long, b long").distinct()
 
 
@@ -387,7 +389,7 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width = shuffle_width(spark)
+    width = max(BUCKETS, shuffle_width(spark))
     held = spark.sparkContext.broadcast(np.packbits(frequent(docs)))  # COUNTERS bits
     made = work.write(docs.mapInArrow(_sketch(held, width), SKETCHES_DDL), "sketches")
     rows = made.where("id is not null").select("id", "doc_id", "n", "print", "sketch")
