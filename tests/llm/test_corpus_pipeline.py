@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import public_tokenizers
-from test_operators import level, roots, shingle_set
+from test_llm_operators import level, roots, shingle_set
 from tokenizers import Tokenizer
 
 from loomline.llm import quality
