@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,6 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, shuffle_width
 
 SPACE = r"[\x20\x09-\x0D]+"
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def normalised(text: Column) -> Column:
