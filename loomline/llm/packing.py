@@ -24,7 +24,8 @@ WINDOW = 2048
 OPEN_BINS = 1024
 END = 0
 STREAM = 50_000
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+REMEMBERED_PARTS = 500_000
 
 # The vocabulary's splitting pattern, and characters that Python's split() takes for white space but the pattern doesn't.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -71,7 +72,7 @@ class Words(dict):
             return self.encode(text)
         if len(self) > REMEMBERED:
             self.clear()
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > REMEMBERED_PARTS:
             self.parts.clear()
         return b"".join(map(self.__getitem__, (text.lower() if latin(text) else text).split()))
 

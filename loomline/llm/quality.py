@@ -19,7 +19,7 @@ FACTORS = 8
 SAMPLE = 10_000
 BATCH = 64
 STEPS = 1_800
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 
 #: Structure and metadata features of a text, in the order of ``structure``.
 STRUCTURE = (
