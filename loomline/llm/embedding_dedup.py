@@ -50,9 +50,11 @@ def tile_links(a: Quantised, b: Quantised, least: float, same: bool) -> tuple[np
     """Index pairs of cosine >= ``least`` and how many were recomputed; each unordered pair once where both tiles are one.
 
     |x.y - s_x s_y q_x.q_y| <= rest_x |y| + |s_x q_x| rest_y, with |y| = 1. Sums of
-    at most 1,000 products of int8 are exact in float32.
+    at most 1,000 products of int8 are exact in float32; for longer vectors the
+    bound takes in what each further sum may round.
     """
     left, right, doubted = [], [], 0
+    slack = SLACK + (a.x.shape[1] * 2.0**-23 if a.x.shape[1] > 1000 else 0)
     qb = b.q.astype(np.float32).T.copy()
     column = b.scale.astype(np.float32)
     worst = float(b.rest.max())
@@ -60,14 +62,14 @@ def tile_links(a: Quantised, b: Quantised, least: float, same: bool) -> tuple[np
         rows = slice(at, min(at + STRIP, len(a.x)))
         product = a.q[rows].astype(np.float32) @ qb
         product *= column
-        floor = (least - a.rest[rows] - a.size[rows] * worst - SLACK) / a.scale[rows]
+        floor = (least - a.rest[rows] - a.size[rows] * worst - slack) / a.scale[rows]
         i, j = np.nonzero(product >= floor[:, None].astype(np.float32))
         near = product[i, j].astype(np.float64) * a.scale[rows][i]
         i = i + at
         if same:
             keep = i < j
             i, j, near = i[keep], j[keep], near[keep]
-        bound = a.rest[i] + a.size[i] * b.rest[j] + SLACK
+        bound = a.rest[i] + a.size[i] * b.rest[j] + slack
         maybe = near + bound >= least
         i, j, near, bound = i[maybe], j[maybe], near[maybe], bound[maybe]
         sure = near - bound >= least
