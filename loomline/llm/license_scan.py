@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .license_notices import notices, whole_texts
 from .textual import mix, runs, slices, span_hashes
 
 SHINGLE = 5
@@ -63,27 +64,47 @@ def bands_for(least: float, missed: float) -> int:
 
 
 class Index:
-    """Templates by class of length; the MinHash values of each, by permutation."""
+    """Templates by class of length; the MinHash values of each, by permutation.
 
-    def __init__(self, templates: dict[str, str], least: float, missed: float, seed: int = 11) -> None:
+    A name has a text or several. Those in ``exact`` are held as a whole only.
+    """
+
+    def __init__(self, templates: dict[str, str | list[str]], least: float, missed: float, seed: int = 11, exact: dict[str, list[str]] | None = None) -> None:
         self.least, self.bands = least, bands_for(least, missed)
         draw = np.random.default_rng(seed)
         self.seeds = draw.integers(1, 1 << 63, self.bands, np.uint64) | np.uint64(1)
-        self.templates = []  # (name, words, width, shingles, class)
+        self.templates = []  # (name, words, width, shingles, share that must be held)
         self.classes: dict[tuple[int, int], list[int]] = {}
-        for name, text in sorted(templates.items()):
+        listed = {(name, text): least for name, texts in templates.items() for text in ([texts] if isinstance(texts, str) else texts)}
+        listed = {(name, text): 1.0 for name, texts in (exact or {}).items() for text in texts} | listed
+        seen = set()
+        for (name, text), share in sorted(listed.items(), key=lambda x: (x[1], x[0])):
             words = words_of(text)
-            if not words:
+            if not words or (name, *words) in seen:
                 continue
+            seen.add((name, *words))
             width = min(SHINGLE, len(words))
             shingles = grams(words, width)
             length = 1 << int(np.ceil(np.log2(len(words) - width + 1)))
             self.classes.setdefault((width, length), []).append(len(self.templates))
-            self.templates.append((name, words, width, shingles))
-        self.values = {}
+            self.templates.append((name, words, width, shingles, share))
+        self.values, self.known, self.need = {}, {}, {}
         for (width, length), members in self.classes.items():
-            low = np.stack([[self.permuted(self.hashes(self.templates[t][1], width), s).min() for s in self.seeds] for t in members])
-            self.values[width, length] = low
+            made = [self.hashes(self.templates[t][1], width) for t in members]
+            self.values[width, length] = np.stack([[self.permuted(h, s).min() for s in self.seeds] for h in made])
+            self.known[width, length] = np.unique(np.concatenate(made))
+            self.need[width, length] = min(max(1, int(np.ceil(share * len(shingles) - 1e-9))) for _, _, _, shingles, share in (self.templates[t] for t in members))
+        #: By width: all templates' shingles, and by the top 20 bits of a hash whether there is one.
+        self.all = {w: np.unique(np.concatenate([h for (v, _), h in self.known.items() if v == w])) for w, _ in self.classes}
+        self.top = {}
+        for w, h in self.all.items():
+            self.top[w] = np.zeros(1 << 20, bool)
+            self.top[w][(h >> np.uint64(44)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Where a shingle of some template stands."""
+        at = np.flatnonzero(self.top[width][(h >> np.uint64(44)).astype(np.int64)])
+        return at[np.isin(h[at], self.all[width])]
 
     @staticmethod
     def hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -104,25 +125,32 @@ def shingle_hashes(word: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def retrieve(h: np.ndarray, length: int, index: Index, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def retrieve(h: np.ndarray, places: np.ndarray, length: int, index: Index, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(template, first shingles of windows) where a band of the window's MinHash equals the template's.
 
     Windows of 1.5 L shingles overlap by L, so that each run of L lies in one; a
-    window's minima come from those of its blocks of half an L.
+    window's minima come from those of its blocks of half an L. Windows with fewer
+    of the class's shingles than any of its templates asks for can't hold one, and
+    get no minima.
     """
-    step = max(1, length // 2)
+    step, wide = (length // 2, 3) if length > 1 else (1, 1)
     blocks = -(-len(h) // step)
     members, values = index.classes[width, length], index.values[width, length]
-    hit = np.zeros((len(members), blocks), bool)
-    padded = np.concatenate([h, np.full(blocks * step - len(h), h[-1])]) if len(h) else h
+    found, count = np.unique(places[np.isin(h[places], index.known[width, length])] // step, return_counts=True)
+    some, at = np.unique(np.concatenate([found - k for k in range(wide)]), return_inverse=True)
+    held = np.bincount(at, np.tile(count, wide), len(some))
+    windows = some[(held >= index.need[width, length]) & (some >= 0)]
+    if not len(windows):
+        return
+    used, back = np.unique(np.minimum(windows[:, None] + np.arange(wide), blocks - 1), return_inverse=True)
+    padded = h[np.minimum(used[:, None] * step + np.arange(step), len(h) - 1)]
+    back = back.reshape(len(windows), wide)
+    hit = np.zeros((len(members), len(windows)), bool)
     for k, seed in enumerate(index.seeds):
-        low = index.permuted(padded, seed).reshape(blocks, step).min(1)
-        if length > 1:
-            low = np.minimum(low, np.minimum(np.append(low[1:], low[-1:]), np.append(low[2:], np.repeat(low[-1:], min(2, blocks)))[:blocks]))
-        for m, value in enumerate(values[:, k]):
-            hit[m] |= low == value
+        low = index.permuted(padded, seed).min(1)[back].min(1)
+        hit |= low == values[:, k, None]
     for m, t in enumerate(members):
-        yield t, np.flatnonzero(hit[m]) * step
+        yield t, windows[hit[m]] * step
 
 
 SCAN = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("n_places", pa.int64())])
@@ -136,38 +164,43 @@ def scan_texts(ids: list[int | None], texts: list[str | None], index: Index) ->
     first = np.searchsorted(doc, np.arange(len(raw) + 1))
     word = span_hashes(data, starts, ends)
     whole = data.tobytes()
-    rows = []
+    found: dict[tuple[int, str], list] = {}  # share and first word of the best window, starts and ends of all places
     for width in {w for w, _ in index.classes}:
         h = shingle_hashes(word, width)
+        places = index.places(h, width)
         for length in sorted(n for w, n in index.classes if w == width):
-            for t, places in retrieve(h, length, index, width) if len(h) else ():
-                name, words, _, shingles = index.templates[t]
-                best: dict[int, list] = {}
+            for t, windows in retrieve(h, places, length, index, width) if len(h) else ():
+                name, words, _, shingles, least = index.templates[t]
                 span = length + max(1, length // 2) + width
-                for place in places.tolist():
+                for place in windows.tolist():
                     for d in range(doc[place], doc[min(place + span, len(doc)) - 1] + 1):
                         a, b = max(place, first[d]), min(place + span, first[d + 1])
                         some = [whole[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
                         share = containment(shingles, some, width) if b - a >= width else 0.0
-                        if share >= index.least:
+                        if share >= least:
                             inner = next(k for k in range(len(some) - width + 1) if tuple(some[k : k + width]) in shingles)
-                            found = best.setdefault(d, [share, int(a - first[d]) + inner, []])
-                            if share > found[0]:
-                                found[:2] = share, int(a - first[d]) + inner
-                            found[2].append(int(a) + inner)
-                # Windows overlap: places nearer than a template's length are one.
-                for d, (share, at, all_) in best.items():
-                    all_ = sorted(set(all_))
-                    rows.append((ids[d], name, share, at, 1 + int((np.diff(all_) >= len(words)).sum())))
+                            best = found.setdefault((d, name), [share, int(a - first[d]) + inner, set()])
+                            if share > best[0]:
+                                best[:2] = share, int(a - first[d]) + inner
+                            best[2].add((int(a) + inner, int(a) + inner + len(words)))
+    rows = []
+    for (d, name), (share, at, all_) in found.items():
+        # Windows, and texts of a name, overlap: a place ends where the last of them does.
+        n, done = 0, -1
+        for start, end in sorted(all_):
+            n, done = n + (start >= done), max(done, end)
+        rows.append((ids[d], name, share, at, n))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SCAN)], schema=SCAN)
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, missed: float = MISSED) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, least: float = LEAST, missed: float = MISSED) -> DataFrame:
     """(doc_id, license, containment, first_word, n_places) for each document and template that it holds.
 
     A template is held where a window has at least ``least`` of its distinct
     shingles of five words (of all its words, if fewer), letters A-Z lower-cased and
-    punctuation aside. ``containment`` and ``first_word`` tell of the best window,
+    punctuation aside. Without ``templates`` these are TEMPLATES, the whole texts and
+    headers of ``license_notices``, and its notices, which must be held as a whole.
+    A license's notices make one row. ``containment`` and ``first_word`` tell of the best window,
     counted in words from 0; ``n_places`` of how many separate places. A match in a
     window is missed with probability ``missed`` at most, by ``bands_for``; exact
     copies are missed far less. What is returned is verified on the words.
@@ -177,7 +210,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     gives its own. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    index = Index(TEMPLATES if templates is None else templates, least, missed)
+    index = Index(TEMPLATES | whole_texts(), least, missed, exact=notices()) if templates is None else Index(templates, least, missed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

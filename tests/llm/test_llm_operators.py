@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, suffix_dedup, token_counts
+from loomline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_notices, license_scan, mixing, packing, quality, suffix_dedup, token_counts
 from loomline.llm.components import components
 from loomline.llm.workspace import Workspace
 
@@ -379,6 +379,44 @@ def test_licenses(spark, docs):
     assert license_scan.license_scan(docs.limit(0)).count() == 0 and license_scan.license_scan(docs, {}).count() == 0
 
 
+def test_licenses_of_whole_texts_headers_and_notices(spark):
+    """Body, header, reworded notice and SPDX line of licenses that the ten notices leave out."""
+    whole = {n: t[0] for n, t in license_notices.whole_texts().items() if n.endswith("-full")}
+    lines = {
+        "mit": "Licensed under the MIT License.",
+        "mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
+        "gpl-2.0": "It is licensed under the terms of the GNU General Public License version 2, I think",
+        "cc-by-sa-4.0": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "lgpl-2.1-header": license_notices.HEADERS["lgpl-2.1-header"][1],
+        "agpl-3-header": license_notices.HEADERS["agpl-3-header"][0],
+        "unlicense": "released under The Unlicense",
+        "cc0-1.0": "dedicated to the public domain under CC0",
+    }
+    texts = [*whole.values(), *lines.values()]
+    table = [(k, f"prose {'pad ' * k} {t} and more") for k, t in enumerate(texts)]
+    found = license_scan.license_scan(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.license) for r in found if r.containment == 1}
+    assert {(k, n) for k, n in enumerate([*whole, *lines])} <= got
+    assert (len(whole) + list(lines).index("gpl-2.0"), "gpl-3.0") not in {(r.doc_id, r.license) for r in found}
+
+
+def test_licenses_retrieved_as_by_brute_force():
+    """Windows left without minima hold no template: parts of long and short texts, by containment in all windows of a text."""
+    draw = random.Random(4)
+    word = lambda: draw.choice("abcdefghijklmnop") + draw.choice("abcdefghijklmnop")
+    templates = {f"t{n}": " ".join(word() for _ in range(n)) for n in (1, 3, 5, 6, 7, 12, 40, 130, 700)}
+    texts = []
+    for text in templates.values():
+        for share in (0.5, 0.8, 0.9, 1):
+            words = text.split()
+            gone = max(0, round(len(words) * (1 - share)))
+            texts.append(" ".join([word() + "x" for _ in range(draw.randint(0, 30))] + words[gone:] + [word() + "x" for _ in range(draw.randint(0, 30))]))
+    index = license_scan.Index(templates, 0.75, 1e-4)
+    got = set(zip(*license_scan.scan_texts(list(range(len(texts))), texts, index).select(["doc_id", "license"]).to_pydict().values(), strict=True))
+    want = {(d, name) for d, t in enumerate(texts) for name, _, width, shingles, least in index.templates if license_scan.containment(shingles, license_scan.words_of(t), width) >= least}
+    assert got == want
+
+
 def test_exact(docs, rows, work, spark):
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, _ in rows}
     groups = defaultdict(list)
