@@ -194,10 +194,10 @@ def _sketch(held, buckets: int):
                 sketches = folded(h, bounds)
                 for d, doc_id in enumerate(ids):
                     print_ = print_of[d] if n[d] else None
-                    fresh[d] = bool(n[d]) and seen.setdefault(print_, d) == d
+                    fresh[d] = bool(n[d]) and doc_id is not None and seen.setdefault(print_, d) == d
                     rows.append({"id": (block << 20) | d, "doc_id": doc_id, "n": int(n[d]), "print": print_, "sketch": sketches[d] if fresh[d] else None})
                 yield pa.RecordBatch.from_pylist(rows, SKETCHES)
-                # Of equal sets in a block, one is looked for.
+                # Of equal sets in a block, one is looked for, that of a row with an id.
                 doc = np.repeat(np.arange(len(n)), n)
                 keep = fresh[doc]
                 kept = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))])

@@ -317,6 +317,23 @@ def test_jaccard(docs, rows, work, spark):
     assert jaccard_join.similar_components(docs.limit(0), Workspace(spark, "test")).count() == 0
 
 
+def test_jaccard_with_null_ids_first(spark):
+    """A row without doc_id that stands before equal sets in its block leaves their links alone; against brute force."""
+    draw = random.Random(12)
+    text = lambda n: " ".join(f"w{draw.randint(0, 9999)}" for _ in range(n))
+    table: list[tuple] = []
+    for k in range(8):
+        t = text(60)
+        table += [(None, t), (10 * k + 5, t), (10 * k + 9, f"{t} tail")] if k % 2 else [(None, t), (10 * k + 9, f"{t} tail"), (None, t), (10 * k + 5, t), (10 * k + 7, t)]
+    df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    sets = {i: shingle_set(t) for i, t in table if i is not None}
+    want = roots([(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])], sets)
+    got = jaccard_join.similar_components(df, Workspace(spark, "test")).collect()
+    assert len(got) == len(table) and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    kept = Counter(r.doc_id for r in jaccard_join.one_of_each(df, Workspace(spark, "test")).collect())
+    assert kept == Counter({None: 12, **{i: 1 for i, c in want.items() if i == c}})
+
+
 def test_segments_never_miss_a_link():
     """Random pairs at the threshold always share a key, whatever counts as frequent."""
     draw = np.random.default_rng(3)
