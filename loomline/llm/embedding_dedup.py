@@ -46,14 +46,13 @@ class Quantised:
         self.size = np.sqrt((near**2).sum(1)) + 1e-12
 
 
-def tile_links(a: Quantised, b: Quantised, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs of cosine >= ``least`` and how many were recomputed; each unordered pair once where both tiles are one.
+def strip_links(a: Quantised, b: Quantised, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """By strip of STRIP rows: index pairs of cosine >= ``least`` and how many were recomputed; each unordered pair once where both tiles are one.
 
     |x.y - s_x s_y q_x.q_y| <= rest_x |y| + |s_x q_x| rest_y, with |y| = 1. Sums of
     at most 1,000 products of int8 are exact in float32; for longer vectors the
     bound takes in what each further sum may round.
     """
-    left, right, doubted = [], [], 0
     slack = SLACK + (a.x.shape[1] * 2.0**-23 if a.x.shape[1] > 1000 else 0)
     qb = b.q.astype(np.float32).T.copy()
     column = b.scale.astype(np.float32)
@@ -74,12 +73,15 @@ def tile_links(a: Quantised, b: Quantised, least: float, same: bool) -> tuple[np
         i, j, near, bound = i[maybe], j[maybe], near[maybe], bound[maybe]
         sure = near - bound >= least
         doubt = np.flatnonzero(~sure)
-        doubted += len(doubt)
         for some in np.array_split(doubt, -(-len(doubt) // 100_000) or 1):
             sure[some] = (a.x[i[some]] * b.x[j[some]]).sum(1) >= least
-        left.append(i[sure])
-        right.append(j[sure])
-    return np.concatenate(left), np.concatenate(right), doubted
+        yield i[sure], j[sure], len(doubt)
+
+
+def tile_links(a: Quantised, b: Quantised, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """All of ``strip_links`` at once."""
+    left, right, doubted = zip(*strip_links(a, b, least, same), strict=True)
+    return np.concatenate(left), np.concatenate(right), sum(doubted)
 
 
 def _cells(pivots: np.ndarray):
@@ -110,11 +112,17 @@ def _multiply(least: float):
         (ids_a, copies_a, a), (ids_b, copies_b, b) = sides[0], sides[-1]
         if a.x.shape[1] != b.x.shape[1]:
             return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
-        i, j, _ = tile_links(a, b, least, len(sides) == 1)
-        rep = np.concatenate([ids_a[i], ids_b[j]])
-        rep, at = np.unique(rep, return_inverse=True)
-        links = np.bincount(at, np.concatenate([copies_b[j], copies_a[i]]), len(rep)).astype(np.int64)
-        child, root = forest(ids_a[i], ids_b[j])
+        same = len(sides) == 1
+        count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        child = root = np.zeros(0, np.int64)
+        for i, j, _ in strip_links(a, b, least, same):
+            count_a += np.bincount(i, copies_b[j], len(ids_a)).astype(np.int64)
+            count_b += np.bincount(j, copies_a[i], len(ids_b)).astype(np.int64)
+            child, root = forest(np.concatenate([child, ids_a[i]]), np.concatenate([root, ids_b[j]]))
+        rep, links = (ids_a, count_a + count_b) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([count_a, count_b]))
+        order = np.argsort(rep)
+        order = order[links[order] > 0]
+        rep, links = rep[order], links[order]
         to = rep.copy()
         to[np.searchsorted(rep, child)] = root
         return pd.DataFrame({"rep": rep, "links": links, "to": to})
@@ -130,7 +138,7 @@ def near_duplicates(vectors: DataFrame, work: Workspace, least: float = LEAST, t
     of about ``tile`` classes. Pairs of cells too far apart for any pair within the
     threshold are left out, by the triangle inequality on angles; all other pairs of
     tiles are multiplied. A pair of tiles returns a count and one link per vector,
-    never its links one by one.
+    and a task holds those of one strip at most, never all one by one.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
     rows without vec_id, link with nothing and stay by themselves. Vectors of other

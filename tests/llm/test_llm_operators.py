@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,25 @@ def test_quantised_bounds_hold():
     assert 0 < doubted < 300
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_dense_tiles_hold_one_strip(monkeypatch, same):
+    """Two tiles all of near vectors: counts and one component as by brute force, without all pairs in memory."""
+    monkeypatch.setattr(embedding_dedup, "STRIP", 64)
+    draw = np.random.default_rng(6)
+    n = 2000
+    x = 1 + draw.normal(scale=0.02, size=(2 if not same else 1, n, 8))
+    ids, copies = draw.permutation(len(x) * n).astype(np.int64).reshape(len(x), n), draw.integers(1, 4, (len(x), n))
+    pdf = pd.DataFrame([{"tile": k, "ids": ids[k].tobytes(), "copies": copies[k].tobytes(), "x": x[k].tobytes(), "kind": x.dtype.str} for k in range(len(x))])
+    tracemalloc.start()
+    got = embedding_dedup._multiply(0.95)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    other = copies[0].sum() - copies[0] if same else np.concatenate([np.full(n, copies[1].sum()), np.full(n, copies[0].sum())])
+    assert dict(zip(got["rep"], got["links"], strict=True)) == dict(zip(ids.ravel().tolist(), other.tolist(), strict=True))
+    assert set(got["to"]) == {0}
+    assert peak < 60e6
+
+
 def test_language(spark, docs):
     draw = random.Random(4)
     words = {"aa": ["kala", "mati", "poru", "tesa"], "bb": ["schrift", "zwölf", "pfund", "knecht"], "ru": ["привет", "слово", "город", "весна"]}
