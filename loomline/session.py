@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -37,3 +38,14 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='loomline-')}/{package.name}", "zip", package.parent, package.name)
     context.addPyFile(made)
     context._loomline_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a temporary folder as its own; a cluster must name one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
