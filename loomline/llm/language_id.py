@@ -19,8 +19,9 @@ GRAMS = 1 << 16
 SLICES = 16
 PENALTY = 12.0
 RARE = 0.005
-MOST_LANGUAGES = 1000
 BLOCK = 3_000_000
+#: Languages that are counted, or scored in blocks of full size, at once.
+SOME = 16
 UNKNOWN = "und"
 
 # First and last code points of scripts, by Unicode block; what none holds counts as one more script.
@@ -75,15 +76,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Block(part.column("text").to_pylist())
             names, code = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             at, gram = grams(block)
-            pairs = np.bincount(code[block.document(at)] * GRAMS + gram, minlength=len(names) * GRAMS).reshape(-1, GRAMS)
+            own = code[block.document(at)]
             starts, ends, doc, script = words(block)
             letters = np.bincount(code[doc] * (len(NAMES) + 1) + script, ends - starts, len(names) * (len(NAMES) + 1)).astype(np.int64).reshape(-1, len(NAMES) + 1)
-            for k, name in enumerate(names):
-                c, s = held.setdefault(str(name), [np.zeros(GRAMS, np.int64), np.zeros(len(NAMES) + 1, np.int64)])
-                c += pairs[k]
-                s += letters[k]
-            if len(held) > 50:
-                yield flush()
+            for first in range(0, len(names), SOME):
+                some = (own >= first) & (own < first + SOME)
+                pairs = np.bincount((own[some] - first) * GRAMS + gram[some], minlength=SOME * GRAMS).reshape(SOME, GRAMS)
+                for k, name in enumerate(names[first : first + SOME]):
+                    c, s = held.setdefault(str(name), [np.zeros(GRAMS, np.int64), np.zeros(len(NAMES) + 1, np.int64)])
+                    c += pairs[k]
+                    s += letters[first + k]
+                if len(held) > 50:
+                    yield flush()
     if held:
         yield flush()
 
@@ -107,15 +111,13 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts over all rows of ``docs`` (text, lang) whose lang isn't null. The model's size depends on the number of languages alone."""
+    """Counts over all rows of ``docs`` (text, lang) whose lang isn't null. The model takes GRAMS numbers a language, whatever the corpus."""
     ship(docs.sparkSession)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     ddl = "lang string, part int, counts binary, scripts binary"
     found = rows.mapInArrow(_count, ddl).groupBy("lang", "part").applyInPandas(_add, ddl)
     parts = found.collect()
     langs = sorted({r.lang for r in parts})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the column isn't one of languages")
     counts, scripts = np.zeros((len(langs), GRAMS)), np.zeros((len(langs), len(NAMES) + 1))
     for r in parts:
         k, step = langs.index(r.lang), GRAMS // SLICES
@@ -126,28 +128,29 @@ def train(docs: DataFrame) -> Model:
 
 
 def steady(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per document its best single language, and whether no path with a switch beats it.
+    """Per document its best single language, and whether no path with a switch can beat it.
 
-    If no stretch of words gains more than one penalty by any one other language,
-    each change of language in a path costs more than its stretch gains.
+    A word gains at most what its best other language scores above the document's
+    own. Where no stretch of words gains more than one penalty so, a path loses on
+    each stretch that it spends in other languages, however it switches among them:
+    the stretch takes a switch at one of its ends at least. A stretch of all words
+    in one other language takes none, but that one isn't the best single language.
     """
     total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, 0, np.float64)])
     best = (total[ends] - total[starts]).argmax(1)
     firm = np.ones(len(starts), bool)
-    size = ends - starts
-    doc = np.repeat(np.arange(len(starts)), size)
+    if scores.shape[1] < 2 or not len(scores):
+        return best, firm
+    doc = np.repeat(np.arange(len(starts)), ends - starts)
+    rows = np.arange(len(scores))
+    others = scores.astype(np.float64)
+    own = others[rows, best[doc]]
+    others[rows, best[doc]] = -np.inf
+    gain = np.concatenate([[0], np.cumsum(others.max(1) - own)])
     # Running minima begin anew at each document, as each lies below all before it.
-    rows = np.arange(len(scores)) + 1
-    own = total[rows, best[doc]]
-    before = total[rows - 1, best[doc]]
-    for k in range(scores.shape[1]):
-        gain, gain_before = total[rows, k] - own, total[rows - 1, k] - before
-        if len(gain) == 0:
-            break
-        step = 2 * (max(gain.max(), gain_before.max()) - min(gain.min(), gain_before.min())) + 1
-        low = np.minimum.accumulate(gain_before - doc * step)
-        rise = gain - doc * step - low
-        np.logical_and.at(firm, doc[rise > penalty], False)
+    step = 2 * (gain.max() - gain.min()) + 1
+    low = np.minimum.accumulate(gain[:-1] - doc * step)
+    firm[doc[gain[1:] - doc * step - low > penalty]] = False
     return best, firm
 
 
@@ -182,45 +185,80 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: f
     return path
 
 
+def narrowed(model: Model, script: np.ndarray, number: np.ndarray, gram: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Scores of words in the languages ``langs``; a word is scored in those that its script admits, and the others lie far below."""
+    scores = np.full((len(script), len(langs)), np.nan, np.float32)
+    for s in np.unique(script):
+        some = np.flatnonzero(script == s)
+        at = np.full(len(script), -1)
+        at[some] = np.arange(len(some))
+        of = at[number]
+        of, own = (of[of >= 0], gram[of >= 0]) if len(some) < len(script) else (of, gram)
+        for k in np.flatnonzero(model.admits[s, langs]):
+            scores[some, k] = np.bincount(of, model.scores[own, langs[k]], len(some))
+    missing = np.isnan(scores)
+    if missing.any():
+        scores = np.where(missing, np.nanmin(scores, 1, keepdims=True) - 50, scores)
+    return scores
+
+
 def label(texts: list[str | None], model: Model, penalty: float) -> tuple[Block, tuple, np.ndarray]:
-    """The words of the texts and the language of each."""
+    """The words of the texts and the language of each.
+
+    Texts with the same scripts are labelled together, among the languages that
+    one of these scripts admits.
+    """
     block = Block(texts)
     starts, ends, doc, script = words(block)
     _, gram = grams(block)
     number = np.repeat(np.arange(len(starts)), ends - starts)
-    n = len(model.langs)
-    scores = np.empty((len(starts), n), np.float32)
-    for k in range(n):
-        scores[:, k] = np.bincount(number, model.scores[gram, k], len(starts))
-    scores = np.where(model.admits[script], scores, scores.min(1, keepdims=True, initial=0) - 50)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    best, firm = steady(scores, bounds[:-1], bounds[1:], penalty)
-    path = np.repeat(best, np.diff(bounds)).astype(np.int16)
-    loose = np.flatnonzero(~firm)
-    if len(loose):
-        rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in loose])
-        to = np.cumsum(np.diff(bounds)[loose])
-        path[rows] = viterbi(scores[rows], to - np.diff(bounds)[loose], to, penalty)
+    scripts = np.zeros(len(texts), np.int64)
+    np.bitwise_or.at(scripts, doc, 1 << script.astype(np.int64))
+    path = np.zeros(len(starts), np.int16)
+    for mask in np.unique(scripts[scripts > 0]).tolist():
+        held = [s for s in range(len(NAMES) + 1) if mask >> s & 1]
+        langs = np.flatnonzero(model.admits[held].any(0))
+        mine = scripts[doc] == mask
+        at = np.flatnonzero(mine)
+        place = np.cumsum(mine) - 1
+        some = mine[number]
+        scores = narrowed(model, script[at], place[number[some]], gram[some], langs)
+        members = np.flatnonzero(scripts == mask)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(texts))[members])])
+        best, firm = steady(scores, bounds[:-1], bounds[1:], penalty)
+        found = np.repeat(best, np.diff(bounds))
+        loose = np.flatnonzero(~firm)
+        if len(loose):
+            rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in loose])
+            to = np.cumsum(np.diff(bounds)[loose])
+            found[rows] = viterbi(scores[rows], to - np.diff(bounds)[loose], to, penalty)
+        path[at] = langs[found]
     return block, (starts, ends, doc), path
 
 
+def bounded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Parts of batches for ``label``: the more languages, the fewer words at once."""
+    most = BLOCK * SOME // max(SOME, len(model.langs))
+    for batch in batches:
+        yield from slices(batch, most)
+
+
 def _predict(held, penalty: float):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
-            for part in slices(batch, BLOCK):
-                n, langs = part.num_rows, len(model.langs)
-                score, names = np.zeros(n), [UNKNOWN] * n
-                if langs:
-                    _, (starts, ends, doc), path = label(part.column("text").to_pylist(), model, penalty)
-                    letters = np.bincount(doc * langs + path, ends - starts, n * langs).reshape(n, langs)
-                    whole = letters.sum(1)
-                    top = letters.argmax(1)
-                    score = letters[np.arange(n), top] / np.maximum(whole, 1)
-                    names = [model.langs[k] if w else UNKNOWN for k, w in zip(top, whole, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], schema=schema)
+        for part in bounded(batches, model):
+            n, langs = part.num_rows, len(model.langs)
+            score, names = np.zeros(n), [UNKNOWN] * n
+            if langs:
+                _, (starts, ends, doc), path = label(part.column("text").to_pylist(), model, penalty)
+                letters = np.bincount(doc * langs + path, ends - starts, n * langs).reshape(n, langs)
+                whole = letters.sum(1)
+                top = letters.argmax(1)
+                score = letters[np.arange(n), top] / np.maximum(whole, 1)
+                names = [model.langs[k] if w else UNKNOWN for k, w in zip(top, whole, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], schema=schema)
 
     return predict
 
@@ -230,16 +268,15 @@ def _spans(held, penalty: float):
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
-            for part in slices(batch, BLOCK):
-                if not model.langs:
-                    continue
-                block, (starts, ends, doc), path = label(part.column("text").to_pylist(), model, penalty)
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])])) if len(doc) else np.zeros(0, int)
-                last = np.concatenate([first[1:] - 1, [len(doc) - 1]]) if len(first) else first
-                base = block.starts[doc[first]]
-                ids = part.column("doc_id").take(pa.array(doc[first]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(starts[first] - base), pa.array(ends[last] - base), pa.array([model.langs[k] for k in path[first]], pa.string())], schema=schema)
+        for part in bounded(batches, model):
+            if not model.langs:
+                continue
+            block, (starts, ends, doc), path = label(part.column("text").to_pylist(), model, penalty)
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])])) if len(doc) else np.zeros(0, int)
+            last = np.concatenate([first[1:] - 1, [len(doc) - 1]]) if len(first) else first
+            base = block.starts[doc[first]]
+            ids = part.column("doc_id").take(pa.array(doc[first]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts[first] - base), pa.array(ends[last] - base), pa.array([model.langs[k] for k in path[first]], pa.string())], schema=schema)
 
     return spans
 
