@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .hot import join_hot
 from .workspace import Workspace
 
 LEAST = 0.95
@@ -142,14 +143,16 @@ def near_duplicates(vectors: DataFrame, work: Workspace, least: float = LEAST, t
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
     rows without vec_id, link with nothing and stay by themselves. Vectors of other
-    lengths don't compare. An empty table gives an empty result; other columns are
-    ignored.
+    lengths don't compare. Rows that repeat a vec_id are vectors of their own: each
+    has its own links, and its component is the smallest vec_id of the rows it
+    reaches. An empty table gives an empty result; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     fine = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    classes = work.write(fine.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # A class has a number of its own, as a vec_id may repeat; a written table keeps it.
+    classes = fine.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    classes = work.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     parts = [_of_length(classes.where(F.size("vector") == r[0]), work, r[0], r[1], least, tile) for r in classes.groupBy(F.size("vector")).count().collect()]
-    member = fine.join(classes.select("vector", "rep", "copies"), "vector").select("vec_id", "rep", "copies")
     other = rows.where(~(usable(F.col("vector")) & F.col("vec_id").isNotNull()))
     alone = other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not parts:
@@ -160,17 +163,19 @@ def near_duplicates(vectors: DataFrame, work: Workspace, least: float = LEAST, t
     found = work.write(found.groupBy("rep").agg(F.sum("links").alias("links"), F.collect_set("to").alias("to")), "links")
     joined = found.select(F.col("rep").alias("a"), F.explode("to").alias("b"))
     roots = components(joined, work)
-    out = member.join(found.select("rep", "links"), "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component_id", "rep")
-    out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
-    return out.unionByName(alone)
+    placed = classes.select("rep", "low", "copies").join(found.select("rep", "links"), "rep", "left").join(roots.select(F.col("id").alias("rep"), F.col("component_id").alias("root")), "rep", "left")
+    placed = work.write(placed.select("rep", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "placed")
+    smallest = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"))
+    known = join_hot(placed, smallest, "root", "classes", work, "smallest").select("rep", "n_links", "component_id")
+    out = join_hot(fine, classes.select("vector", "rep", "copies").join(known, "rep"), "vector", "copies", work, "known")
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def _of_length(classes: DataFrame, work: Workspace, length: int, count: int, least: float, tile: int) -> DataFrame:
     """(rep, links, to) of the classes of one vector length, a row for each pair of tiles in which a class has links."""
     name = f"d{length}"
     # At most PIVOTS vectors, and as many cells.
-    some = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, -(-count // tile))).collect()
+    some = classes.orderBy(F.xxhash64("vector"), "rep").limit(min(PIVOTS, -(-count // tile))).collect()
     pivots = unit(np.array([r.vector for r in some]))
     ddl = f"rep long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, cell int, angle double"
     placed = work.write(classes.mapInPandas(_cells(pivots), ddl), f"{name}-cells")
