@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textual import mix, runs, slices, span_hashes
+from .hot import join_hot
+from .textual import mix, narrow, runs, slices, span_hashes
 from .workspace import Workspace, shuffle_width
 
 SHINGLE = 5
@@ -21,7 +23,11 @@ BLOCK = 2_000_000
 CLUSTER = 8_192
 #: At least so many buckets of keys: a bucket tells of a pair once, and with few buckets the pairs told grew with their number.
 BUCKETS = 128
-FILTER = 1 << 23
+#: Keys that a bucket holds, and members of clusters that a group of comparisons holds, about.
+KEYS = 4_000_000
+MEMBERS = 20_000
+#: Bits of the filter of wanted documents: eight a document, within these bounds.
+FILTER = (1 << 20, 1 << 27)
 
 #: By byte: white space that parts words.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -55,12 +61,6 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*out, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(h) for h in out], dtype=np.int64)])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets meet 100 * intersection >= 75 * union."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
-
-
 def prints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """128 bits of each set, the same for equal sets."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])
@@ -90,10 +90,10 @@ def fold(sketch: bytes, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, length // 8), axis=0)
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """Hamming distance of two sketches, at most the size of the sets' symmetric difference."""
-    least = min(len(a), len(b))
-    return int(np.bitwise_count(fold(a, least) ^ fold(b, least)).sum())
+def fold_all(sketches: list[bytes], length: int) -> np.ndarray:
+    """``fold`` of sketches of one length, a row each. The Hamming distance of two sketches of a length is at most the size of the sets' symmetric difference."""
+    words = np.frombuffer(b"".join(sketches), np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(len(sketches), -1, length // 8), axis=1)
 
 
 def segment_keys(h: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +160,8 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Bits by the top 20 bits of a shingle's hash: whether far more documents than usual hold one of these.
+def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits by the top 20 bits of a shingle's hash: whether far more documents than usual hold one of these; and the number of shingles.
 
     Counted over all documents into a fixed number of counters. It only orders
     segments: a wrong bit costs candidates, never a link.
@@ -171,11 +171,11 @@ def frequent(docs: DataFrame) -> np.ndarray:
     for r in found.collect():  # COUNTERS numbers in all
         counts[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(r.counts, np.uint32)
     usual = counts.mean()
-    return counts > usual + 8 * np.sqrt(usual) + 32
+    return counts > usual + 8 * np.sqrt(usual) + 32, int(counts.sum())
 
 
-SKETCHES = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("per_doc", pa.binary())])
-SKETCHES_DDL = "id long, doc_id long, n long, print binary, sketch binary, bucket int, block long, keys binary, per_doc binary"
+SKETCHES = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("kind", pa.string()), ("per_doc", pa.binary())])
+SKETCHES_DDL = "id long, doc_id long, n long, print binary, sketch binary, bucket int, block long, keys binary, kind string, per_doc binary"
 
 
 def _sketch(held, buckets: int):
@@ -211,7 +211,11 @@ def _sketch(held, buckets: int):
                 order = np.lexsort([doc, home])
                 key, doc = key[order], doc[order]
                 ends = np.searchsorted(home[order], np.arange(buckets + 1))
-                rows = [{"bucket": b, "block": block, "keys": key[s:e].tobytes(), "per_doc": np.bincount(doc[s:e], minlength=len(n)).astype(np.uint16).tobytes()} for b, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > s]
+                rows = []
+                for b, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if e > s:
+                        per = narrow(np.bincount(doc[s:e], minlength=len(n)))
+                        rows.append({"bucket": b, "block": block, "keys": key[s:e].tobytes(), "kind": per.dtype.str, "per_doc": per.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, SKETCHES)
                 block += 1
 
@@ -221,8 +225,8 @@ def _sketch(held, buckets: int):
 def _meet(table: pa.Table) -> pa.Table:
     """Links of all sets that share a key to the first of them, each once."""
     keys, ids = [], []
-    for row in table.select(["block", "keys", "per_doc"]).to_pylist():
-        per = np.frombuffer(row["per_doc"], np.uint16)
+    for row in table.select(["block", "keys", "kind", "per_doc"]).to_pylist():
+        per = np.frombuffer(row["per_doc"], row["kind"])
         keys.append(np.frombuffer(row["keys"], np.uint64))
         ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
     key, id_ = np.concatenate(keys), np.concatenate(ids)
@@ -234,22 +238,29 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def near(a: DataFrame, infos: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different sets whose sizes and sketches allow a link, with their Hamming distance."""
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches allow a link, all of a batch whose sketches have the same lengths at once."""
+    for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        batch = batch.filter(pa.array(4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)))
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        far = np.zeros(len(na), np.int64)
+        wide = np.stack([pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("sa", "sb")], 1)
+        for x, y in np.unique(wide, axis=0).tolist():
+            some = np.flatnonzero((wide[:, 0] == x) & (wide[:, 1] == y))
+            for at in np.array_split(some, -(-len(some) * (x + y) // BLOCK)):
+                a, b = (fold_all(batch.column(c).take(pa.array(at)).to_pylist(), min(x, y)) for c in ("sa", "sb"))
+                far[at] = np.bitwise_count(a ^ b).sum(1)
+        near_ = pa.array(7 * far <= na + nb)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(near_), batch.column("b").filter(near_), pa.array(far).filter(near_)], ["a", "b", "d"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.to_pydict()
-            out = []
-            for a_, b_, na, nb, sa, sb in zip(x["a"], x["b"], x["na"], x["nb"], x["sa"], x["sb"], strict=True):
-                if 4 * min(na, nb) >= 3 * max(na, nb) and 7 * (d := apart(sa, sb)) <= na + nb:
-                    out.append((a_, b_, d))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["a", "b", "d"])
 
+def near(a: DataFrame, infos: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different sets whose sizes and sketches allow a link, with their Hamming distance."""
     left = infos.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("print").alias("pa"))
     right = infos.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("print").alias("pb"))
     joined = a.join(left, "a").join(right, "b").where("pa <> pb").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(judge, "a long, b long, d long")
+    return joined.mapInArrow(_judge, "a long, b long, d long")
 
 
 def _sets(held):
@@ -268,33 +279,56 @@ def _sets(held):
     return sets
 
 
-def _bits(table: pa.Table) -> pa.Table:
-    part = table.column("part")[:1]
-    bits = np.zeros(FILTER // PARTS, np.uint8)
-    bits[table.column("place").to_numpy() % (FILTER // PARTS)] = 1
-    return pa.table({"part": part, "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def _bits(size: int):
+    """The bits of a part of the filter that are set."""
+
+    def bits(table: pa.Table) -> pa.Table:
+        held = np.zeros(size // PARTS, np.uint8)
+        held[table.column("place").to_numpy() % (size // PARTS)] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    return bits
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, infos: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, set) for the given ids, from the texts again.
 
-    A filter of FILTER bits keeps the texts from being shuffled: tasks make sets of
-    documents whose bit is set, and the exact join is of sets alone. A full filter
-    would only make more sets than needed.
+    A filter keeps the texts from being shuffled: tasks make sets of documents
+    whose bit is set, and the exact join is of sets alone. Its size follows from
+    the number of ids up to a bound of 16 MB; a fuller filter would only make more
+    sets than needed, those of all documents at worst.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
     needed = work.write(ids.distinct().join(infos.select("id", "doc_id", "print"), "id"), f"{name}-needed")
-    places = needed.select(place("doc_id").alias("place")).distinct().withColumn("part", F.floor(F.col("place") / (FILTER // PARTS)).cast("int"))
-    parts = {r.part: r.bits for r in places.groupBy("part").applyInArrow(_bits, "part int, bits binary").collect()}
-    held = docs.sparkSession.sparkContext.broadcast(b"".join(parts.get(k, bytes(FILTER // PARTS // 8)) for k in range(PARTS)))
+    size = int(np.clip(1 << (8 * needed.count()).bit_length(), *FILTER))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    places = needed.select(place("doc_id").alias("place")).distinct().withColumn("part", F.floor(F.col("place") / (size // PARTS)).cast("int"))
+    parts = {r.part: r.bits for r in places.groupBy("part").applyInArrow(_bits(size), "part int, bits binary").collect()}
+    held = docs.sparkSession.sparkContext.broadcast(b"".join(parts.get(k, bytes(size // PARTS // 8)) for k in range(PARTS)))
     made = docs.where("doc_id is not null").withColumn("place", place("doc_id")).mapInArrow(_sets(held), "doc_id long, print binary, set binary")
     return work.write(needed.join(made, ["doc_id", "print"]).select("id", "set"), f"{name}-sets")
 
 
+def shared(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets of each pair, and of what both hold."""
+    n = len(x)
+    size = np.fromiter((len(s) // 8 for s in [*x, *y]), np.int64, 2 * n)
+    pair = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), size)
+    h = np.frombuffer(b"".join([*x, *y]), np.uint64)
+    order = np.lexsort([h, pair])
+    pair, h = pair[order], h[order]
+    return size[:n], size[n:], np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=n)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+        long_ = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y")))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(long_, (long_[at - 1] if at else 0) + 2 * BLOCK, "right")))
+            some = batch.slice(at, stop - at)
+            a, b, both = shared(some.column("x").to_pylist(), some.column("y").to_pylist())
+            yield some.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= 75 * (a + b - both))))
+            at = stop
 
 
 def verified(pairs: DataFrame, sets: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -357,18 +391,28 @@ def _cluster(n: np.ndarray, comp: np.ndarray, part: np.ndarray, id_: np.ndarray,
             yield min(int(id_[i]), k), max(int(id_[i]), k)
 
 
-def across(stars: DataFrame, label: DataFrame, infos: DataFrame, width: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of the clusters that hold more than one component (label: id, comp), each pair once."""
+def across(stars: DataFrame, label: DataFrame, infos: DataFrame, work: Workspace, name: str, best: bool) -> DataFrame | None:
+    """Pairs (a, b) of the clusters that hold more than one component (label: id, comp), each pair once; None where there is no such cluster."""
     members = stars.select(F.col("a").alias("low"), F.col("b").alias("id")).union(stars.select(F.col("a").alias("low"), F.col("a")).distinct())
     members = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = members.groupBy("low").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
-    mixed = mixed.select("low", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts"))
-    dealt = members.join(mixed, "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    mixed = work.write(mixed.select("low", "size", F.ceil(F.col("size") / CLUSTER).cast("int").alias("parts")), f"{name}-mixed")
+    copies = mixed.agg(F.sum(F.col("size") * F.col("parts"))).first()[0]
+    if copies is None:
+        return None
+    groups = max(shuffle_width(stars.sparkSession), -(-copies // MEMBERS))
+    dealt = members.join(mixed.select("low", "parts"), "low").join(infos.select("id", "n", "sketch"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(width)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("low", "p", "q"), F.lit(groups)).cast("int")).select("bucket", "low", "p", "q", "part", "comp", "n", "id", "sketch")
     return dealt.groupBy("bucket").applyInArrow(_across(best), "a long, b long").distinct()
 
 
+def labelled(links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(id, comp) of all that ``links`` join, each component's smallest included."""
+    found = components(links, work, f"{name}-cc")
+    return work.write(found.select("id", F.col("component_id").alias("comp")).union(found.select("component_id", "component_id").distinct()), f"{name}-labels")
+
+
 def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text).
 
@@ -380,7 +424,8 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     within the bound are checked: each set's nearest first, then all that are still
     apart. So many near copies of one text cost about their number, and no link
     between components is lost. Clusters of more than CLUSTER members are compared
-    in parts, two at a time.
+    in parts, two at a time. The buckets of keys and the groups of clusters number
+    as many as the rows ask for.
 
     Null text and text without words have no shingles and link with nothing. Rows
     with a null doc_id have a null component. Repeated doc_ids share a component
@@ -389,31 +434,36 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width = max(BUCKETS, shuffle_width(spark))
-    held = spark.sparkContext.broadcast(np.packbits(frequent(docs)))  # COUNTERS bits
+    heavy, total = frequent(docs)
+    # A set has at most two keys, one in its own band and one in the next, for every third shingle.
+    width = max(BUCKETS, shuffle_width(spark), total * 2 // 3 // KEYS)
+    held = spark.sparkContext.broadcast(np.packbits(heavy))  # COUNTERS bits
     made = work.write(docs.mapInArrow(_sketch(held, width), SKETCHES_DDL), "sketches")
     rows = made.where("id is not null").select("id", "doc_id", "n", "print", "sketch")
     infos = rows.where("sketch is not null and doc_id is not null")
-    packed = made.where("bucket is not null").select("bucket", "block", "keys", "per_doc")
+    packed = made.where("bucket is not null").select("bucket", "block", "keys", "kind", "per_doc")
     stars = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
     tested = work.write(nearest(near(stars, infos)), "first-pairs")
     sets = sets_of(tested.select(F.col("a").alias("id")).union(tested.select("b")), docs, infos, work, "first")
     links = verified(tested, sets, work, "first")
-    label = work.write(components(links, work, "first-cc").withColumnRenamed("component_id", "comp"), "first-labels")
+    label = labelled(links, work, "first")
     for name, best in (("second", True), ("third", False)):
-        pairs = work.write(across(stars, label, infos, width, best).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+        pairs = across(stars, label, infos, work, name, best)
+        if pairs is None:
+            break
+        pairs = work.write(pairs.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
         if pairs.head(1):
             sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, infos, work, name)
             links = work.write(links.union(verified(pairs, sets, work, name)), f"{name}-all-links")
             tested = tested.union(pairs)
-            if best:
-                label = work.write(components(links, work, "second-cc").withColumnRenamed("component_id", "comp"), "second-labels")
-    name = rows.select("id", "doc_id")
-    by_doc = links.join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = rows.where("print is not null and doc_id is not null")
-    least = equal.groupBy("print").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1")
-    same = equal.join(least, "print").select(F.col("doc_id").alias("a"), "b").where("a <> b")
-    roots = components(by_doc.union(same), work, "all-cc")
+            label = labelled(links, work, name)
+    known = rows.where("doc_id is not null and n > 0").select("id", "doc_id", "print")
+    # Each row meets the least doc_id of its component, and of its print: stars, whose hubs may hold very many rows.
+    ends = []
+    for name, group in (("by-link", known.join(label, "id").select("doc_id", F.col("comp").alias("of"))), ("by-print", known.select("doc_id", F.col("print").alias("of")))):
+        least = group.groupBy("of").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")
+        ends.append(join_hot(group, least, "of", "size", work, name).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    roots = components(ends[0].union(ends[1]), work, "all-cc")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
