@@ -16,15 +16,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textual import slices
+from .textual import narrow, slices
 from .workspace import Workspace, shuffle_width
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 512
 BLOCK_BYTES = 16_000_000
 
+#: Pre-tokens whose pieces a task remembers at most; beyond, it starts anew.
+REMEMBERED = 2_000_000
+
 # The white space of the vocabulary's splitting pattern.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 AWKWARD = re.compile(f" (?:[{WHITE}]|\\Z)")
 STARTS = re.compile(f" (?=[^{WHITE}])")
 
@@ -40,54 +43,97 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def pre_tokens(text: str, special: tuple[str, ...]) -> tuple[str, list[str]]:
-    """What stands before the first inner word start, and the words after it, each without its leading space.
+class Splitter:
+    """Pre-tokens of texts, as the vocabulary's own splitting gives them; a special token's string is one by itself."""
 
-    The splitting pattern joins one space to a following word and otherwise never
-    joins white space to anything, so a text may be parted before each space that
-    a non-space follows, and the parts encode alone as they do in the text. A text
-    that holds a special token's string stays in one part.
-    """
-    if any(s in text for s in special):
-        return text, []
-    first, *rest = STARTS.split(text) if AWKWARD.search(text) else text.split(" ")
-    return first, rest
+    def __init__(self, path: str) -> None:
+        tokenizer = load(path)
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        self.between = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
+
+    def stretches(self, text: str) -> list[str]:
+        """The text parted at the strings of special tokens, these included."""
+        if self.between is None or not any(s in text for s in self.special):
+            return [text]
+        return self.between.split(text)
+
+    def chunks(self, stretch: str) -> tuple[str, list[str]]:
+        """What stands before the first inner word start, and the words after it, each without its leading space.
+
+        The splitting pattern joins one space to a following word and otherwise never
+        joins white space to anything, so a text may be parted before each space that
+        a non-space follows, and the parts split alone as they do in the text.
+        """
+        if stretch in self.special:
+            return stretch, []
+        first, *rest = STARTS.split(stretch) if AWKWARD.search(stretch) else stretch.split(" ")
+        return first, rest
+
+    def pre_tokens(self, chunk: str) -> list[str]:
+        plain = chunk[1:] if chunk[:1] == " " else chunk
+        if chunk in self.special or (plain.isascii() and plain.isalpha()):
+            return [chunk]
+        return [chunk[a:b] for _, (a, b) in self.split(chunk)]
 
 
 def _gather(path: str, buckets: int):
     """Per block of documents: its distinct pre-tokens dealt to buckets, with each document's frequencies of them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = tuple(t.content for t in load(path).get_added_tokens_decoder().values())
+        splitter = Splitter(path)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, BLOCK_BYTES):
-                yield from _pack(part, special, number, buckets)
+                yield from _pack(part, splitter, number, buckets)
                 number += 1
 
     return gather
 
 
-def _pack(part: pa.RecordBatch, special: tuple[str, ...], number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def frequencies(texts: list[str | None], splitter: Splitter) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of all texts; and document, pre-token and frequency of each that a document holds, by document.
+
+    Chunks are counted first, and a chunk is split once for all texts.
+    """
     known: defaultdict[str, int] = defaultdict()
     known.default_factory = known.__len__
     plain: dict[str, int] = {}
-    words, freqs, sizes = [], [], []
-    texts = part.column("text")
-    for text in texts.to_pylist():
-        first, rest = pre_tokens(text or "", special)
-        counts = Counter(rest)
-        words.append(np.fromiter(map(known.__getitem__, counts), np.int64, len(counts)))
-        freqs.append(np.fromiter(counts.values(), np.uint32, len(counts)))
-        if first:  # negative for now: words without a leading space are numbered apart
-            words.append(np.array([~plain.setdefault(first, len(plain))]))
-            freqs.append(np.ones(1, np.uint32))
-        sizes.append(len(counts) + bool(first))
-    word, freq = np.concatenate([*words, np.zeros(0, np.int64)]), np.concatenate([*freqs, np.zeros(0, np.uint32)])
-    word = np.where(word < 0, len(known) + ~word, word)
+    chunks, freqs, sizes = [], [], []
+    for text in texts:
+        counts: Counter = Counter()
+        firsts: Counter = Counter()
+        for stretch in splitter.stretches(text or ""):
+            first, rest = splitter.chunks(stretch)
+            counts.update(rest)
+            if first:
+                firsts[first] += 1
+        # Chunks without a leading space are numbered apart, negative for now.
+        chunks.append(np.fromiter((*map(known.__getitem__, counts), *(~plain.setdefault(f, len(plain)) for f in firsts)), np.int64, len(counts) + len(firsts)))
+        freqs.append(np.fromiter((*counts.values(), *firsts.values()), np.int64, len(counts) + len(firsts)))
+        sizes.append(len(counts) + len(firsts))
+    chunk, freq = np.concatenate([*chunks, np.zeros(0, np.int64)]), np.concatenate([*freqs, np.zeros(0, np.int64)])
+    chunk = np.where(chunk < 0, len(known) + ~chunk, chunk)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    strings = [f" {w}" for w in known] + list(plain)
-    del known, plain
+    number: dict[str, int] = {}
+    parts = [[number.setdefault(p, len(number)) for p in splitter.pre_tokens(c)] for c in (*(f" {w}" for w in known), *plain)]
+    many = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.fromiter((p for part in parts for p in part), np.int64, int(many.sum()))
+    del known, plain, parts, chunks, freqs
+    begin = np.cumsum(many) - many
+    each = many[chunk]
+    at = np.repeat(begin[chunk] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    key = np.repeat(doc, each) * max(1, len(number)) + flat[at]
+    order = np.argsort(key, kind="stable")
+    key, freq = key[order], np.repeat(freq, each)[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    freq = np.add.reduceat(freq, first) if len(key) else freq
+    return list(number), key[first] // max(1, len(number)), key[first] % max(1, len(number)), freq
+
+
+def _pack(part: pa.RecordBatch, splitter: Splitter, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    texts = part.column("text")
+    strings, doc, word, freq = frequencies(texts.to_pylist(), splitter)
     home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in strings), np.int64, len(strings)) % buckets
     order = np.argsort(home[word], kind="stable")
     word, freq, doc = word[order], freq[order], doc[order]
@@ -103,17 +149,12 @@ def _pack(part: pa.RecordBatch, special: tuple[str, ...], number: int, buckets:
         if b and ends[b] == ends[b + 1]:
             continue
         head = b == 0  # one row of a block carries its documents
-        parts = [narrow(x) for x in (np.bincount(doc[at], minlength=len(sizes)), local[word[at]], freq[at])]
+        parts = [narrow(x) for x in (np.bincount(doc[at], minlength=part.num_rows), local[word[at]], freq[at])]
         row = {"bucket": b, "block": number, "ids": part.column("doc_id").to_pylist() if head else None, "n_bytes": lengths if head else None}
         row |= {"words": table.take(pa.array(own[own_ends[b] : own_ends[b + 1]])).to_pylist(), "kinds": " ".join(x.dtype.str for x in parts)}
         yield pa.RecordBatch.from_pylist([row | dict(zip(("per_doc", "word", "freq"), (x.tobytes() for x in parts), strict=True))], BLOCK)
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    """The same numbers in as few bytes each as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
 def _count(path: str):
     """Pieces of each distinct pre-token of a bucket, counted when it is first met, joined to the frequencies and summed by document."""
 
@@ -122,6 +163,8 @@ def _count(path: str):
         pieces: dict[str, int] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if len(pieces) > REMEMBERED:
+                    pieces.clear()
                 new = [w for w in row["words"] if w not in pieces]
                 for at in range(0, len(new), 5000):
                     some = new[at : at + 5000]
@@ -146,16 +189,18 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens), one row per row of ``docs`` (doc_id, text), as the library counts tokens.
 
     Documents are read in blocks of bounded size. A block's distinct pre-tokens go
-    to the buckets of their hash, each with its frequencies in the block's
-    documents as packed arrays; a bucket counts the pieces of a pre-token once for
-    all blocks. So a common word costs one entry per block, never a hot key.
+    to the buckets of their hash, one for each shuffle partition, each with its
+    frequencies in the block's documents as packed arrays; a bucket counts the
+    pieces of a pre-token once for all blocks. So a common word costs one entry per
+    block, never a hot key. A bucket remembers REMEMBERED pre-tokens at most, and
+    counts anew what it meets after more.
 
     Null text counts as empty: no bytes, no tokens. Repeated and null doc_ids keep
     a row each. An empty table gives an empty result; other columns are ignored.
     """
     width = shuffle_width(docs.sparkSession)
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(vocabulary, width), BLOCK_DDL)
-    sums = packed.repartition(width, "bucket").mapInArrow(_count(vocabulary), "block long, ids array<long>, n_bytes array<long>, sums binary")
+    sums = packed.repartitionById(width, F.col("bucket")).mapInArrow(_count(vocabulary), "block long, ids array<long>, n_bytes array<long>, sums binary")
     return sums.groupBy("block").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
 
 

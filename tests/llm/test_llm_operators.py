@@ -12,12 +12,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomline.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, license_notices, license_scan, mixing, packing, quality, suffix_dedup, token_counts
 from loomline.llm.components import components
+from loomline.llm.textual import slices
 from loomline.llm.workspace import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size string, key int, _id string, bucket string, sha string, norm string, n long, y string"
@@ -179,14 +181,36 @@ def test_token_counts(docs, rows, work):
 
 
 def test_pre_tokens_encode_alone():
+    """Texts of strange white space, special strings and scripts without spaces: units are what the vocabulary splits them into, and count as in the text."""
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    splitter = token_counts.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
     draw = random.Random(9)
-    for _ in range(3000):
-        text = "".join(draw.choice(["a", "Bc", "é", " ", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", ".", "!?", " ", "\x85", "\x1d", "　", "日", "<|endoftext|>"]) for _ in range(draw.randint(0, 14)))
-        first, rest = token_counts.pre_tokens(text, ("<|endoftext|>",))
-        parts = [first, *[f" {w}" for w in rest]]
-        assert "".join(parts) == text
-        assert sum(len(library.encode(p, add_special_tokens=False).ids) for p in parts if p) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    texts = ["".join(draw.choice(["a", "Bc", "é", " ", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", ".", "!?", "\u00a0", "\x85", "\x1d", "\u3000", "日本、", "ひらがな。", "<|endoftext|>"]) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    units, doc, unit, freq = token_counts.frequencies(texts, splitter)
+    count = np.array([len(library.encode(u, add_special_tokens=False).ids) for u in units])
+    assert np.bincount(doc, count[unit] * freq, len(texts)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(u == "<|endoftext|>" or len(library.pre_tokenizer.pre_tokenize_str(u)) == 1 for u in units)
+    want = {u for t in texts for s in t.split("<|endoftext|>") for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(s) for u in [s[a:b]]} | {"<|endoftext|>"}
+    assert set(units) == want
+
+
+def test_token_counts_of_long_texts_in_small_blocks(spark, monkeypatch):
+    """A text longer than a block, and a bucket that remembers few pre-tokens."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_counts, "REMEMBERED", 10)
+    splitter = token_counts.Splitter(token_counts.VOCABULARY)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["alpha", "beta,", "gamma42", "δ"]) + str(draw.randint(0, 99)) for _ in range(n)) for n in (5000, 3, 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["doc_id", "text"])
+    sums = np.zeros(4, np.int64)
+    for k, part in enumerate(slices(batch, 1000)):
+        rows = [r for b in token_counts._pack(part, splitter, k, 3) for r in b.to_pylist()]
+        counted = token_counts._count(token_counts.VOCABULARY)(iter([pa.RecordBatch.from_pylist(rows, token_counts.BLOCK)]))
+        at = batch.column("doc_id").to_pylist().index(part.column("doc_id")[0].as_py())
+        for b in counted:
+            for r in b.to_pylist():
+                sums[at : at + part.num_rows] += np.frombuffer(r["sums"], np.int64)
+    assert sums.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_words_encode_alone():
