@@ -12,13 +12,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import join_hot
 from .textual import BASE, mix, powers, slices
 from .workspace import Workspace, shuffle_width
 
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM
+#: A gram of more occurrences is split by its windows.
 HOT = 2_000
+#: Anchors of a group, and strings of a bucket, about.
+ANCHORS = 2_000_000
+STRINGS = 20_000
 BLOCK = 3_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -135,7 +140,7 @@ def _cut(strings: bool):
     With ``strings``: the string that a run covers, to be sorted with others of its
     gram. Without: for hot grams, a 128-bit print of each window instead, so that
     they spread over many tasks; and the spans of what is known already, as equal
-    strings, or equal windows of hot grams, stand in one block.
+    strings, or windows of hot grams with equal bytes, stand in one block.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +176,61 @@ def _cut(strings: bool):
                     prints = np.stack([hashes_at(prefix_sums(data, s), window, LENGTH) for s in (1, 2)], 1)
                     _, one, inverse, times = np.unique(prints, axis=0, return_index=True, return_inverse=True, return_counts=True)
                     inverse = inverse.ravel()
-                    for w in np.flatnonzero(times[inverse] > 1):
-                        out.append((ids[doc[run[w]]], int(window[w] - base[run[w]]), int(window[w] + LENGTH - base[run[w]]), None, None, None, None, None))
-                    low, high = prints[one].view(np.int64).T
-                    for k, w in enumerate(one):
-                        out.append((ids[doc[run[w]]], int(window[w] - base[run[w]]), None, int(low[k]), int(high[k]), int(min(times[k], 2)), None, None))
+                    low, high = prints.view(np.int64).T
+                    # Windows of one print: told apart by their bytes, so that those of a group are equal.
+                    groups: dict[tuple[int, bytes], list[int]] = {}
+                    for w in np.flatnonzero(times[inverse] > 1).tolist():
+                        groups.setdefault((int(inverse[w]), whole[window[w] : window[w] + LENGTH]), []).append(w)
+                    for members in groups.values():
+                        if len(members) > 1:
+                            out.extend((ids[doc[run[w]]], int(window[w] - base[run[w]]), int(window[w] + LENGTH - base[run[w]]), None, None, None, None, None) for w in members)
+                    for w, weight in [*((int(w), 1) for w in one[times == 1]), *((members[0], min(len(members), 2)) for members in groups.values())]:
+                        out.append((ids[doc[run[w]]], int(window[w] - base[run[w]]), None, int(low[w]), int(high[w]), weight, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PARTS, strict=True)], schema=PARTS)
 
     return cut
 
 
+WINDOWS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("window", pa.binary())])
+WINDOWS_DDL = "id long, start long, low long, high long, window binary"
+
+
+def _windows(every: bool):
+    """The bytes of the given windows: each one with its place, or each print's different bytes once a block."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, BLOCK):
+                seen: dict[tuple, tuple] = {}
+                for id_, text, marks in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("marks"), strict=True):
+                    start, low, high = (marks.values.field(c).to_pylist() for c in ("start", "low", "high"))
+                    for s, a, b in zip(start, low, high, strict=True):
+                        window = text[s : s + LENGTH]
+                        seen[(id_, s) if every else (a, b, window)] = (id_, s, a, b, window)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen.values(), strict=True), WINDOWS, strict=True)], schema=WINDOWS)
+
+    return windows
+
+
+def _checked(warm: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """(id, start) of the windows whose bytes, and not their print alone, stand elsewhere.
+
+    ``warm`` has windows whose print does. The bytes of a print are compared after
+    equal ones have been folded in each task; where two texts share a print, the
+    windows of that print are grouped by their bytes.
+    """
+    marks = warm.groupBy("id").agg(F.collect_list(F.struct("start", "low", "high")).alias("marks"))
+    held = texts.select("id", "text").join(marks, "id")
+    parted = held.mapInArrow(_windows(False), WINDOWS_DDL).groupBy("low", "high").agg(F.min("window").alias("a"), F.max("window").alias("b")).where("a <> b")
+    parted = work.write(parted.select("low", "high"), "parted")
+    if not parted.head(1):
+        return warm.select("id", "start")
+    own = held.mapInArrow(_windows(True), WINDOWS_DDL).join(parted, ["low", "high"], "left_semi")
+    again = own.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    return warm.join(parted, ["low", "high"], "left_anti").select("id", "start").union(own.join(again, "window").select("id", "start"))
+
+
 def lists_flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int8)
 
@@ -347,37 +396,45 @@ def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     Of equal texts of at least LENGTH bytes nothing stays, and one of them stands
     for all. Only anchors whose gram repeats go on, with the string around them, to
     the bucket of their gram; there the strings are sorted both ways from the
-    anchor. Strings that repeat in a block travel once. Grams of more than ``hot``
-    occurrences send prints of their windows instead, which are counted before and
-    after the shuffle, so that no common passage gathers in one task.
+    anchor. Strings that repeat in a block travel once. A gram of more than ``hot``
+    occurrences is split: each of its windows is a group of its own, found by a
+    print, counted before and after the shuffle and compared byte by byte, so that
+    no common passage gathers in one task. Groups and buckets number as many as
+    the bytes and strings ask for.
 
     Short texts lose nothing. Rows that repeat a doc_id are texts of their own, and
     null doc_ids too. An empty table gives an empty result; other columns are ignored.
     """
     width = shuffle_width(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = work.write(docs.mapInArrow(_find(width), FOUND_DDL), "anchors")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # Two grams in REACH + 2 are anchors, on average.
+    buckets = max(width, 2 * size // (REACH + 2) // ANCHORS)
+    found = work.write(docs.mapInArrow(_find(buckets), FOUND_DDL), "anchors")
     info = found.where("id is not null").select("id", "doc_id", "sha", "n_bytes")
     packed = found.where("bucket is not null").select("bucket", "block", "grams", "at", "per_doc")
     again = packed.groupBy("bucket").applyInArrow(_repeated(hot), "id long, at long, hot boolean")
     again = again.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("hot").alias("hot"))
     copies = work.write(info.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("doc_id", "id").alias("doc_id")), "copies")
     needed = work.write(copies.join(again, "id").select("id", "sha", "doc_id", "at", "hot"), "needed")
+    strings = needed.agg(F.sum(F.size("at"))).first()[0] or 0
     one = needed.select(F.struct("doc_id", "sha").alias("_key"), "id", "sha", "at", "hot")
     texts = docs.withColumn("_own", F.struct("doc_id", F.sha2("text", 256).alias("sha"))).join(one, F.col("_own").eqNullSafe(F.col("_key")))
     texts = work.write(texts.select("id", "sha", "text", "at", "hot"), "texts")
     inputs = texts.select("id", "text", "at", "hot")
     known = work.write(inputs.mapInArrow(_cut(False), PARTS_DDL), "known")
-    runs = inputs.mapInArrow(_cut(True), PARTS_DDL).withColumn("bucket", F.pmod(F.xxhash64("low"), F.lit(4 * width)).cast("int"))
+    runs = inputs.mapInArrow(_cut(True), PARTS_DDL).withColumn("bucket", F.pmod(F.xxhash64("low"), F.lit(max(4 * width, strings // STRINGS))).cast("int"))
     matched = runs.groupBy("bucket").applyInArrow(_match, "id long, start long, end long")
     windows = known.where("low is not null").select("id", "start", "low", "high", "weight")
     counted = windows.groupBy("low", "high").agg(F.sum("weight").alias("n")).where("n > 1").select("low", "high")
-    warm = windows.join(counted, ["low", "high"]).select("id", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = known.where("end is not null").select("id", "start", "end").union(matched).union(warm)
+    warm = work.write(windows.join(counted, ["low", "high"]).select("id", "start", "low", "high"), "warm")
+    spans = known.where("end is not null").select("id", "start", "end").union(matched)
+    if warm.head(1):
+        spans = spans.union(_checked(warm, texts, work).select("id", "start", (F.col("start") + LENGTH).alias("end")))
     spans = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cleaned = texts.select("id", "sha", "text").join(spans, "id").select("sha", "text", "spans").mapInArrow(_clean, "sha string, n_removed long, n_spans long, kept_sha256 string")
     cleaned = work.write(cleaned.dropDuplicates(["sha"]), "cleaned")
-    out = info.join(copies.select("sha", "copies"), "sha").join(cleaned, "sha", "left")
+    out = join_hot(info, copies.select("sha", "copies").join(cleaned, "sha", "left"), "sha", "copies", work, "results")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     return out.select(

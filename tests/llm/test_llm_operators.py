@@ -313,29 +313,73 @@ def test_targets(spark, sizes):
     assert got == {s: pytest.approx(t) for s, t in level(sizes).items()}
 
 
-def test_repeated_bytes(docs, rows, work, spark):
-    texts = [(t or "").encode() for _, t, _ in rows]
+def repeated_by_brute_force(table):
+    """What ``repeated_bytes`` gives for (doc_id, text), by counting all windows."""
+    texts = [(t or "").encode() for _, t in table]
     seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
     want = {}
-    for (i, _, _), t in zip(rows, texts, strict=True):
+    for (i, _), t in zip(table, texts, strict=True):
         covered = np.zeros(len(t) + 1, bool)
         for k in range(len(t) - 199):
             if seen[t[k : k + 200]] > 1:
                 covered[k : k + 200] = True
         want[i] = (len(t), int(covered.sum()), int((np.diff(covered.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(b for b, c in zip(t, covered) if not c)).hexdigest())
+    return want
+
+
+def test_repeated_bytes(docs, rows, work, spark):
+    want = repeated_by_brute_force([(i, t) for i, t, _ in rows])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs, work).collect()}
     assert got == want
     assert sum(w[1] for w in want.values()) > 1000
     assert suffix_dedup.repeated_bytes(docs.limit(0), Workspace(spark, "test")).count() == 0
 
 
-def test_repeated_bytes_of_hot_grams(docs, spark):
-    """Whole windows instead of sorted strings give the same."""
+@pytest.mark.parametrize("colliding", [False, True])
+def test_repeated_bytes_of_hot_grams(docs, spark, colliding):
+    """Grams split by their windows give the same, also where different windows share a print."""
     plain = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs, Workspace(spark, "test")).collect()}
-    hot = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs, Workspace(spark, "test"), hot=1).collect()}
+    hot = {r.doc_id: r for r in repeated_by_value(docs, Workspace(spark, "test"), colliding).collect()}
     assert hot == plain
 
 
+def repeated_by_value(docs, work, colliding):
+    """``repeated_bytes`` with every repeated gram split; where asked, tasks have prints of two bits for each half."""
+    if not colliding:
+        return suffix_dedup.repeated_bytes(docs, work, hot=1)
+    cut = suffix_dedup._cut
+
+    def weak_cut(strings):
+        inner = cut(strings)
+
+        def run(batches):
+            hashes = suffix_dedup.hashes_at
+            suffix_dedup.hashes_at = lambda total, at, width: hashes(total, at, width) & np.uint64(3 if width == suffix_dedup.LENGTH else (1 << 64) - 1)
+            try:
+                yield from inner(batches)
+            finally:
+                suffix_dedup.hashes_at = hashes
+
+        return run
+
+    suffix_dedup._cut = weak_cut
+    try:
+        return suffix_dedup.repeated_bytes(docs, work, hot=1)
+    finally:
+        suffix_dedup._cut = cut
+
+
+def test_repeated_bytes_of_a_passage_in_very_many_texts(spark):
+    """One passage in over HOT texts, between words of their own."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(45))
+    texts = [f"{' '.join(word() for _ in range(draw.randint(5, 12)))} {passage} {' '.join(word() for _ in range(draw.randint(5, 12)))}" for _ in range(2100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(df, Workspace(spark, "test")).collect()}
+    assert got == repeated_by_brute_force(list(enumerate(texts))) and all(n > len(passage) for _, n, _, _ in got.values())
+
+
 def test_deep_shallow_sorts():
     draw = random.Random(2)
     strings = list({b"k" * 20 + bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 40))) for _ in range(400)} | {b"", b"k", b"ab\0", b"ab"})
