@@ -19,7 +19,7 @@ from .workspace import Workspace, shuffle_width
 SHINGLE = 5
 COUNTERS = 1 << 20
 PARTS = 16
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 CLUSTER = 8_192
 #: At least so many buckets of keys: a bucket tells of a pair once, and with few buckets the pairs told grew with their number.
 BUCKETS = 128
