@@ -7,24 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], prefix: str = "last_") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], prefix: str = "last_", span: int = 86400) -> DataFrame:
     """Each left row with the ``take`` columns of the latest right row of the same ``by`` at or before its ``on``.
 
-    Both sides go through one shuffle by key, and one window fills the latest right
-    values forward. Left rows without an earlier right row keep nulls; where
-    several right rows share key and time, the one whose taken values are largest
-    counts; null keys match nothing.
+    A key's time is cut in ranges of ``span`` seconds. Both sides go through one
+    shuffle by key and range, and a window fills the latest right values forward
+    within it; what a range begins with comes from a window over the last right
+    values of the key's ranges. So a busy key spreads over its ranges. Left rows
+    without an earlier right row keep nulls; where several right rows share key and
+    time, the one whose taken values are largest counts; null keys match nothing.
     """
     key = F.struct(*[F.col(t) for t in take])
     ends = right.select(*by, on, *take).where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(key).alias("_right"))
     tagged = left.withColumns({"_right": F.lit(None).cast(ends.schema["_right"].dataType), "_left": F.lit(1)})
     every = tagged.unionByName(ends.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    order = W.partitionBy(*by).orderBy(F.col(on), F.col("_left")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = every.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where("_left = 1")
+    every = every.withColumn("_range", F.floor(F.unix_micros(F.col(on).cast("timestamp")) / F.lit(span * 1_000_000)))
+    within = W.partitionBy(*by, "_range").orderBy(F.col(on), F.col("_left")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = every.withColumn("_right", F.last("_right", ignorenulls=True).over(within)).where("_left = 1")
+    before = W.partitionBy(*[f"_{b}" for b in by]).orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
+    tails = every.groupBy(*[F.col(b).alias(f"_{b}") for b in by], F.col("_range").alias("_from")).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col(on))).alias("_tail"))
+    tails = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
+    same = F.col("_range") == F.col("_from")
+    for b in by:
+        same = same & (F.col(b) == F.col(f"_{b}"))
+    found = filled.join(tails, same, "left").withColumn("_right", F.coalesce("_right", "_carried"))
     known = F.lit(True)
     for b in by:
         known = known & F.col(b).isNotNull()
-    return filled.select(*left.columns, *[F.when(known, F.col(f"_right.{t}")).alias(prefix + t) for t in take])
+    return found.select(*left.columns, *[F.when(known, F.col(f"_right.{t}")).alias(prefix + t) for t in take])
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, seconds: int) -> DataFrame:

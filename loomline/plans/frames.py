@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cosine, page_text, page_title
+from ..functions import cosine, feed_items, page_text, page_title
 from ..operators import as_of_join, distinct_on, interval_join, nearest_neighbours, qualify, top_per_group
 from ..session import ship
 from ..sources import read, round_trip, write_partitioned
 
 
 def scan_csv(spark: SparkSession, d: str) -> DataFrame:
-    return round_trip(read(spark, d, "nation"), "csv", header="true").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("n_name").alias("last_name"))
+    """Names with separators, quotes and line ends in them, and nulls, through csv."""
+    awkward = F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(', "x"\ny'))).otherwise(F.col("p_name"))
+    parts = round_trip(read(spark, d, "part").select("p_partkey", "p_brand", awkward.alias("name")), "csv", header="true", multiLine="true", escape='"')
+    return parts.groupBy("p_brand").agg(F.count("name").alias("n"), F.max("name").alias("last_name"))
 
 
 def scan_json(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +32,8 @@ def scan_orc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_text(spark: SparkSession, d: str) -> DataFrame:
-    lines = round_trip(read(spark, d, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("value")), "text")
-    return lines.select(F.split("value", r"\|")[0].cast("int").alias("n_nationkey"), F.split("value", r"\|")[1].alias("n_name"))
+    lines = round_trip(read(spark, d, "part").select(F.concat_ws("|", "p_partkey", "p_name").alias("value")), "text")
+    return lines.select(F.split("value", r"\|")[0].cast("long").alias("p_partkey"), F.split("value", r"\|")[1].alias("p_name"))
 
 
 def partitioned_write(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +54,9 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_small(spark: SparkSession, d: str) -> DataFrame:
-    regions, nations = read(spark, d, "region"), read(spark, d, "nation")
-    return regions.crossJoin(nations).where("n_regionkey <> r_regionkey").groupBy("r_name").agg(F.count("*").alias("n"))
+    """Every customer with every region, a table of fixed size."""
+    regions, customers = read(spark, d, "region"), read(spark, d, "customer").select("c_nationkey")
+    return customers.crossJoin(F.broadcast(regions)).where("c_nationkey % 5 <> r_regionkey").groupBy("r_name").agg(F.count("*").alias("n"))
 
 
 def qualified(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +80,7 @@ def sketches(spark: SparkSession, d: str) -> DataFrame:
         F.approx_count_distinct("l_orderkey", 0.02).alias("approx"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(14))).alias("hll"),
         F.expr("theta_sketch_estimate(theta_sketch_agg(l_orderkey, 14))").alias("theta"),
-        F.percentile_approx("l_extendedprice", 0.5, F.lit(10000)).alias("median"),
+        F.median("l_extendedprice").alias("median"),
         F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D)").alias("kll_median"),
         F.expr("approx_top_k(l_linenumber, 3)").alias("frequent"),
         F.histogram_numeric("l_quantity", F.lit(10)).alias("bins"),
@@ -83,10 +88,14 @@ def sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sketch_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the approximate distinct counts are within five per cent of the exact ones."""
+    """Whether approximate distinct counts are within five per cent of the exact ones and a sketch's median near the exact one; rows of the three most frequent line numbers, and of all bins of a histogram."""
     found = sketches(spark, d)
     near = lambda c: F.abs(F.col(c) - F.col("exact")) <= F.col("exact") * 0.05
-    return found.select("l_returnflag", "exact", near("approx").alias("approx_near"), near("hll").alias("hll_near"), near("theta").alias("theta_near"), (F.abs(F.col("kll_median") - F.col("median")) <= F.col("median") * 0.1).alias("medians_near"))
+    total = lambda array, field: F.aggregate(array, F.lit(0.0), lambda s, x: s + x[field]).cast("long")
+    return found.select(
+        "l_returnflag", "exact", near("approx").alias("approx_near"), near("hll").alias("hll_near"), near("theta").alias("theta_near"),
+        (F.abs(F.col("kll_median") - F.col("median")) <= F.col("median") * 0.1).alias("medians_near"), total("frequent", "count").alias("frequent_rows"), total("bins", "y").alias("binned_rows"),
+    )
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
@@ -112,22 +121,26 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
-def feed_items(spark: SparkSession, d: str) -> DataFrame:
-    """Pages written as items of a feed and parsed again."""
-    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
-    item = F.concat(F.lit("<item><title>Page "), F.col("page_id"), F.lit("</title><link>"), escaped, F.lit("</link></item>"))
-    parsed = read(spark, d, "pages").select("page_id", F.from_xml(item, "title string, link string").alias("item"))
-    return parsed.select("page_id", "item.title", "item.link")
+def feed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Items of feeds of one to three items, derived from the pages; second items have no link, third ones no date, and every tenth feed is cut off."""
+    link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    item = lambda k: F.concat(
+        F.lit("<item><title>Page "), F.col("page_id"), F.lit("-"), k, F.lit("</title>"), F.when(k != 1, F.concat(F.lit("<link>"), link, F.lit("</link>"))).otherwise(""),
+        F.when(k != 2, F.concat(F.lit("<pubDate>"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit(" Jan 2024 08:00:00</pubDate>"))).otherwise(""), F.lit("</item>"),
+    )
+    items = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 3), item), "")
+    feed = F.concat(F.lit("<rss version=\"2.0\"><channel><title>Pages</title>"), items, F.when(F.col("page_id") % 10 == 9, F.lit("<item><title")).otherwise(F.lit("</channel></rss>")))
+    return read(spark, d, "pages").select("page_id", F.posexplode(feed_items(feed)).alias("place", "item")).select("page_id", "place", "item.title", "item.link", "item.published")
 
 
 def scalar_udf(spark: SparkSession, d: str) -> DataFrame:
-    """A vectorised function by column: share of upper-case letters of a name."""
+    """A vectorised function by column, for what built-in ones can't say: texts without their accents, by Unicode decomposition."""
 
-    @F.pandas_udf("double")
-    def upper_share(names: pd.Series) -> pd.Series:
-        return names.str.count("[A-Z]") / names.str.len()
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"), na_action="ignore")
 
-    return read(spark, d, "part").select("p_partkey", F.round(upper_share("p_name"), 9).alias("share"))
+    return read(spark, d, "documents").select("doc_id", F.md5(plain("text")).alias("plain_md5"))
 
 
 def row_udf(spark: SparkSession, d: str) -> DataFrame:
@@ -185,12 +198,13 @@ def partition_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "b02_csv": (scan_csv, "select n_regionkey, count(*) as n, max(n_name) as last_name from nation group by 1"),
+    "b02_csv": (scan_csv, """select p_brand, count(name) as n, max(name) as last_name from (
+             select p_brand, case when p_partkey % 7 = 0 then null when p_partkey % 3 = 0 then p_name || ', "x"' || chr(10) || 'y' else p_name end as name from part) group by 1"""),
     "b02_json": (scan_json, "select s_nationkey, count(*) as n, max(s_name) as last_name from supplier group by 1"),
     "b02_orc": (scan_orc, "select p_brand, count(*) as n from part where p_size > 10 group by 1"),
-    "b02_text": (scan_text, "select n_nationkey, n_name from nation"),
+    "b02_text": (scan_text, "select p_partkey, p_name from part"),
     "b03_partitioned_write": (partitioned_write, "select o_custkey, count(*) as n, max(o_totalprice) as most from orders where o_orderstatus = 'F' group by 1"),
-    "b10_cross_join": (cross_small, "select r_name, count(*) as n from region, nation where n_regionkey <> r_regionkey group by 1"),
+    "b10_cross_join": (cross_small, "select r_name, count(*) as n from customer, region where c_nationkey % 5 <> r_regionkey group by 1"),
     "b11_interval_join": (
         intervals,
         "select a.event_id, b.event_id as r_event_id from events a join events b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval '6 hours' where a.event_type = 'click' and b.event_type = 'purchase'",
@@ -199,7 +213,14 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         as_of,
         "select a.event_id, a.user_id, a.ts, b.event_id as click_event_id, b.value as click_value from (select * from events where event_type = 'purchase') a asof left join (select * from events where event_type = 'click') b on a.user_id = b.user_id and a.ts >= b.ts",
     ),
-    "b21_b22_sketches": (sketch_errors, "select l_returnflag, count(distinct l_orderkey) as exact, true as approx_near, true as hll_near, true as theta_near, true as medians_near from lineitem group by 1"),
+    "b21_b22_sketches": (
+        sketch_errors,
+        """select l_returnflag, count(distinct l_orderkey) as exact, true as approx_near, true as hll_near, true as theta_near, true as medians_near, f.frequent_rows, count(*) as binned_rows
+           from lineitem join (
+             select l_returnflag, cast(sum(n) as bigint) as frequent_rows from (
+               select l_returnflag, count(*) as n from lineitem group by l_returnflag, l_linenumber qualify row_number() over (partition by l_returnflag order by n desc) <= 3) group by 1) f using (l_returnflag)
+           group by l_returnflag, f.frequent_rows""",
+    ),
     "b26_qualify": (qualified, "select event_id, user_id, event_type from events qualify count(*) over (partition by user_id, event_type) >= 15"),
     "b27_distinct_on": (first_orders, "select distinct on (o_custkey) o_custkey, o_orderkey, o_orderdate from orders order by o_custkey, o_orderdate, o_orderkey"),
     "b27_top_per_group": (top_orders, "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
@@ -209,8 +230,13 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
              select a.vec_id as query, b.vec_id as neighbour, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s
              from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) qualify row_number() over (partition by query order by s desc, neighbour) <= 10""",
     ),
-    "d10_feed_items": (feed_items, "select page_id, 'Page ' || page_id as title, url as link from pages"),
-    "b46_pandas_udf": (scalar_udf, "select p_partkey, round(len(regexp_replace(p_name, '[^A-Z]', '', 'g')) / len(p_name), 9) as share from part"),
+    "d10_feed_items": (
+        feed_rows,
+        """select page_id, cast(k as int) as place, 'Page ' || page_id || '-' || k as title, case when k <> 1 then url end as link,
+                  case when k <> 2 then timestamp '2024-01-01 08:00:00' + (page_id % 28) * interval '1 day' end as published
+           from (select page_id, url, unnest(range(page_id % 3 + 1)) as k from pages where page_id % 10 <> 9)""",
+    ),
+    "b46_pandas_udf": (scalar_udf, "select doc_id, md5(strip_accents(text)) as plain_md5 from documents"),
     "b46_python_udf": (row_udf, "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') as initials from part"),
     "b46_table_function": (table_udf, "select p_partkey, cast(unnest(range(len(string_split(p_type, ' ')))) as int) as place, unnest(string_split(p_type, ' ')) as word from part"),
     "b47_aggregate_udf": (

@@ -49,7 +49,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "b09_semi_join": ("select c_custkey, c_name from {customer} left semi join {orders} on c_custkey = o_custkey and o_totalprice > 100000", "select c_custkey, c_name from customer where exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 100000)"),
     "b09_anti_join": ("select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey and o_orderstatus = 'F'", "select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey and o_orderstatus = 'F')"),
     "b09_not_in": ("select p_partkey from {part} where p_partkey not in (select l_partkey from {lineitem} where l_quantity > 40)", None),
-    "b10_theta_join": ("select a.n_name as low, b.n_name as high from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", None),
+    # No equal key: every order against the bands of a table of fixed size
+    "b10_theta_join": ("select o_orderkey, n_name from {orders} join {nation} on o_totalprice >= n_nationkey * 20000 and o_totalprice < (n_nationkey + 1) * 20000", None),
     "b13_lateral_join": (
         "select c_custkey, t.o_orderkey, t.o_totalprice from {customer}, lateral (select o_orderkey, o_totalprice from {orders} where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 2) t",
         None,
@@ -65,6 +66,15 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "select /*+ shuffle_hash(o), broadcast(n) */ n_name, count(*) as n from {orders} o join {customer} c on o_custkey = c_custkey join {nation} n on c_nationkey = n_nationkey group by n_name",
         "select n_name, count(*) as n from orders o join customer c on o_custkey = c_custkey join nation n on c_nationkey = n_nationkey group by n_name",
     ),
+    "b15_merge_hint": (
+        "select /*+ merge(c) */ c_nationkey, count(*) as n from {orders} o join {customer} c on o_custkey = c_custkey group by c_nationkey",
+        "select c_nationkey, count(*) as n from orders o join customer c on o_custkey = c_custkey group by c_nationkey",
+    ),
+    # Copies a table of fixed size to every part of the other
+    "b15_replicate_hint": (
+        "select /*+ shuffle_replicate_nl(n) */ n_name, count(*) as n from {supplier} s join {nation} n on s_nationkey = n_nationkey group by n_name",
+        "select n_name, count(*) as n from supplier s join nation n on s_nationkey = n_nationkey group by n_name",
+    ),
     # Aggregation
     "b16_pricing_summary": (
         f"""select l_returnflag, l_linestatus, {MONEY.format("l_quantity")} as sum_qty, {MONEY.format("l_extendedprice")} as sum_base,
@@ -78,9 +88,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     "b17_moments": (
         """select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r, round(covar_pop(l_quantity, l_discount), 6) as cov, round(var_samp(l_tax), 8) as v,
-                  round(skewness(l_quantity), 5) as skew from {lineitem} group by l_returnflag""",
+                  round(skewness(l_quantity), 5) as skew, round(kurtosis(l_quantity), 5) as kurt from {lineitem} group by l_returnflag""",
         """select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r, round(covar_pop(l_quantity, l_discount), 6) as cov, round(var_samp(l_tax), 8) as v,
-                  round(avg(pow(l_quantity - m, 3)) / pow(avg(pow(l_quantity - m, 2)), 1.5), 5) as skew
+                  round(avg(pow(l_quantity - m, 3)) / pow(avg(pow(l_quantity - m, 2)), 1.5), 5) as skew,
+                  round(avg(pow(l_quantity - m, 4)) / pow(avg(pow(l_quantity - m, 2)), 2) - 3, 5) as kurt
            from (select *, avg(l_quantity) over (partition by l_returnflag) as m from lineitem) group by l_returnflag""",
     ),
     "b18_distinct_filter_having": (
@@ -183,7 +194,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "b38_recursive": (
         """with recursive chain(k, depth, top) as (select n_nationkey, 0, n_nationkey from {nation} where n_regionkey = 0
              union all select n.n_nationkey, c.depth + 1, c.top from chain c join {nation} n on n.n_nationkey = c.k + 1 where c.depth < 3)
-           select top, max(depth) as deepest, count(*) as n from chain group by top""",
+           select top, max(depth) as deepest, count(distinct k) as nations, count(*) as customers from chain join {customer} on c_nationkey = k group by top""",
         None,
     ),
     # Time windows over a batch
@@ -203,7 +214,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     # Text
     "b52_word_counts": (
-        r"select word, count(*) as n, count(distinct doc_id) as docs from {documents} lateral view explode(regexp_extract_all(lower(text), '[a-z]+', 0)) t as word group by word",
+        # A row gives each word for its places and once for itself, so only words and two sums are shuffled
+        r"""select word, sum(place) as n, sum(doc) as docs from (select regexp_extract_all(lower(text), '[a-z]+', 0) as words from {documents})
+            lateral view inline(concat(transform(words, w -> named_struct('word', w, 'place', 1, 'doc', 0)), transform(array_distinct(words), w -> named_struct('word', w, 'place', 0, 'doc', 1)))) t as word, place, doc group by word""",
         r"select word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) group by word",
     ),
 }

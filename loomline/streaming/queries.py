@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import read, read_stream
@@ -14,16 +15,48 @@ from ..sources.tables import scratch
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream emits, as a table. Complete and update modes keep the last batch's rows, append mode all rows."""
+    """All that a stream of the files that are there emits, as a table. Complete mode keeps the last batch's rows, other modes all rows."""
     spark = stream.sparkSession
-    path = scratch(spark, "stream")
+    out = scratch(spark, "stream")
+    drain(stream, mode, out, scratch(spark, "stream-state"))
+    return emitted(spark, stream, mode, out)
+
+
+def drain(stream: DataFrame, mode: str, out: str, state: str) -> None:
+    """Run a query on the files that its state hasn't seen. A batch that is tried again replaces what it wrote."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+
+def emitted(spark: SparkSession, stream: DataFrame, mode: str, out: str) -> DataFrame:
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.select(*stream.columns)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "stream-state")).foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+
+def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """All that ``build`` emits while the parts arrive one after the other.
+
+    Each part's files are a batch of their own; the query ends after it and goes on
+    from its checkpoint with the next, so that state and watermark are read back.
+    """
+    spark = parts[0].sparkSession
+    source, out, state = (scratch(spark, name) for name in ("stream-source", "stream", "stream-state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(part.schema).parquet(source))
+        drain(stream, mode, out, state)
+    return emitted(spark, stream, mode, out)
+
+
+def decades(table: DataFrame) -> list[DataFrame]:
+    """The events of the month's first ten days, the next ten, and the rest."""
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    return [table.where(third == k) for k in range(3)]
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -44,9 +77,18 @@ def closed_hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    """One event of each user and type within a watermark of a day, however late copies come: ids of users and types seen."""
-    seen = events(spark, d).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return run(seen.select("user_id", "event_type"), "append")
+    """Each event once, within a watermark of a day, of a stream with repeated and late rows.
+
+    The events come in three parts. Every event with an id divisible by ten comes
+    twice in its part, and again in the next one, days later. Events of the first
+    part whose id ends in 1 are held back to the second: those before the watermark
+    by then are dropped, the others are still let in.
+    """
+    first, second, third = decades(read(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")))
+    late, again = F.col("event_id") % 10 == 1, F.col("event_id") % 10 == 0
+    on_time = first.where(~late)
+    parts = [on_time.union(on_time.where(again)), second.union(second.where(again)).union(first.where(late | again)), third.union(second.where(again))]
+    return run_in_parts(parts, lambda s: s.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"]), "append").select("event_id", "user_id")
 
 
 def stream_static(spark: SparkSession, d: str) -> DataFrame:
@@ -64,18 +106,48 @@ def stream_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Events and sum of values by user, held in a state of one's own across batches."""
+    """Events and sum of values by user after the last of three parts, held in a state of one's own across batches."""
 
     def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        n, cents = state.get if state.exists else (0, 0)
         for pdf in batches:
-            n, total = n + len(pdf), total + float(pdf["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 3)]})
+            n, cents = n + len(pdf), cents + int((pdf["value"] * 100).round().sum())
+        state.update((n, cents))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
 
-    kept = events(spark, d).groupBy("user_id").applyInPandasWithState(add, "user_id long, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
-    last = run(kept, "append").groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("s"))
-    return last.select("user_id", "s.n")
+    build = lambda s: s.groupBy("user_id").applyInPandasWithState(add, "user_id long, n long, cents long", "n long, cents long", "update", GroupStateTimeout.NoTimeout)
+    kept = run_in_parts(decades(read(spark, d, "events").select("user_id", "value", "ts")), build, "update")
+    last = kept.groupBy("user_id").agg(F.max(F.struct("n", "cents")).alias("s"))
+    return last.select("user_id", "s.n", "s.cents")
+
+
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose type differs from the user's event before, by a processor with a state store of its own across three parts."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        build = lambda s: s.groupBy("user_id").transformWithStateInPandas(LastType(), "user_id long, event_id long, event_type string", "append", "none")
+        return run_in_parts(decades(read(spark, d, "events").select("user_id", "event_id", "event_type", "ts")), build, "append")
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+class LastType(StatefulProcessor):
+    """Keeps each user's last type, and gives the events that change it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "event_type string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        pdf = pd.concat(rows).sort_values(["ts", "event_id"])
+        held = self.last.get()
+        before = pdf["event_type"].shift(1, fill_value=held[0] if held is not None else "")
+        self.last.update((pdf["event_type"].iloc[-1],))
+        yield pdf.loc[pdf["event_type"] != before, ["user_id", "event_id", "event_type"]]
+
+    def close(self) -> None:
+        pass
 
 
 STREAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -84,8 +156,16 @@ STREAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         closed_hours,
         "select time_bucket(interval '1 hour', ts) as start_, count(*) as n from events group by 1 having time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)",
     ),
-    "b43_stream_dedup": (deduplicated, "select distinct user_id, event_type from events"),
-    "b44_stream_state": (running_totals, "select user_id, count(*) as n from events group by 1"),
+    "b43_stream_dedup": (
+        deduplicated,
+        """select event_id, user_id from events where not (event_id % 10 = 1 and day(ts) <= 10 and epoch_us(ts) <= (
+             select epoch_us(max(ts)) // 1000 * 1000 - 86400000000 from events where day(ts) <= 10 and event_id % 10 <> 1))""",
+    ),
+    "b44_stream_state": (running_totals, "select user_id, count(*) as n, cast(sum(round(value * 100)) as bigint) as cents from events group by 1"),
+    "b44_transform_with_state": (
+        changes,
+        "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is distinct from event_type",
+    ),
     "b45_stream_static_join": (stream_static, "select event_id, c_mktsegment from events join customer on user_id = c_custkey"),
     "b45_stream_stream_join": (
         stream_stream,
