@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .language_id import fold
@@ -17,6 +18,8 @@ from .workspace import Workspace
 WORDS = 1 << 15
 FACTORS = 8
 SAMPLE = 10_000
+#: Texts of one id that are learnt from, at most.
+COPIES = 10
 BATCH = 64
 STEPS = 1_800
 BLOCK = 1_000_000
@@ -175,18 +178,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable")
+    # Rows that repeat an id follow each other by their features, so the order never depends on the shuffle.
+    pdf = pdf.assign(_by=[np.asarray(x, np.float32).tobytes() + np.asarray(b, np.int32).tobytes() + np.asarray(v, np.float32).tobytes() for x, b, v in zip(pdf["dense"], pdf["bucket"], pdf["value"], strict=True)])
+    pdf = pdf.sort_values(["doc_id", "_by"], kind="stable")
     bounds = np.concatenate([[0], np.cumsum([len(b) for b in pdf["bucket"]])])
     machine = Machine().fit(np.stack(pdf["dense"]), bounds, np.concatenate(list(pdf["bucket"])), np.concatenate(list(pdf["value"])), pdf["y"].to_numpy(float))
     return pd.DataFrame({"model": [machine.dump()]})
 
 
-def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPLE) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPLE, copies: int = COPIES) -> Machine:
     """A machine fit to at most ``sample`` labelled rows (doc_id, quality), the first in hash order of their ids.
 
     Without labels of both kinds the untrained machine scores by the share of ones
     (0.5 where there are none). Null labels and ids are left out; an id with several
-    labels counts with their rounded mean; several texts of an id all take part.
+    labels counts with their rounded mean. Of several texts of an id, ``copies`` at
+    most take part, the first in hash order.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("y")).where("_id is not null and y is not null")
     rows = rows.groupBy("_id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.md5(F.col("_id").cast("string"))).limit(sample)
@@ -194,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAM
     # At most ``sample`` rows of two numbers, whatever the corpus.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    found = found.withColumn("place", place).where(F.col("place") <= copies).drop("place")
     found = found.mapInArrow(_extract, "doc_id long, y double, dense array<float>, bucket array<int>, value array<float>")
     model = found.withColumn("one", F.col("y") * 0).groupBy("one").applyInPandas(_fit, "model binary").collect()
     return Machine.load(model[0].model) if model else Machine()

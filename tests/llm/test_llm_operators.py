@@ -105,6 +105,27 @@ def test_near_vectors(spark, work):
     assert embedding_dedup.near_duplicates(df.limit(0), Workspace(spark, "test")).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark, work):
+    """Rows of one vec_id are vectors of their own; against brute force over rows."""
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(30, 8))
+    rows_ = [(int(draw.integers(0, 20)), v.tolist()) for v in [*x, *(x[:12] + draw.normal(scale=0.02, size=(12, 8))), *x[:4], *x[:2]]]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    unit = np.array([v for _, v in rows_])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    root = roots([(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j], range(len(rows_)))
+    least = {r: min(rows_[i][0] for i in range(len(rows_)) if root[i] == r) for r in set(root.values())}
+    want = Counter((i, int(near[k].sum()) - 1, least[root[k]], i == least[root[k]]) for k, (i, _) in enumerate(rows_))
+    for hot in (500, 1):
+        embedding_dedup.join_hot.__defaults__, before = (hot,), embedding_dedup.join_hot.__defaults__
+        try:
+            got = embedding_dedup.near_duplicates(df, Workspace(spark, "test"), tile=10)
+        finally:
+            embedding_dedup.join_hot.__defaults__ = before
+        assert Counter(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == want
+
+
 def test_quantised_bounds_hold():
     draw = np.random.default_rng(2)
     x = embedding_dedup.unit(draw.normal(size=(300, 24)))
@@ -152,21 +173,67 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
-def test_viterbi_is_exact():
+def best_worth(scores, penalty):
+    """The worth of the best path, by the recurrence over single words."""
+    value = scores[0].copy()
+    for row in scores[1:]:
+        value = np.maximum(value, value.max() - penalty) + row
+    return value.max()
+
+
+def worth(scores, path, penalty):
+    return scores[np.arange(len(path)), path].sum() - penalty * (np.diff(path) != 0).sum()
+
+
+def test_labelled_paths_are_the_best_ones():
+    """10,000 texts of 2 to 6 languages: Viterbi's path, and a single language wherever ``steady`` is sure, are worth as much as the best path."""
     draw = np.random.default_rng(1)
-    scores = draw.normal(size=(60, 3)) * 3
-    bounds = np.array([0, 7, 7, 30, 31, 60])
-    got = language_id.viterbi(scores, bounds[:-1], bounds[1:], 4.0)
-    worth = lambda s, path: sum(s[k, p] for k, p in enumerate(path)) - 4.0 * sum(a != b for a, b in zip(path, path[1:]))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        best = {k: (scores[a, k], (k,)) for k in range(3)} if b > a else {}
-        for t in range(a + 1, b):
-            best = {k: max((v - 4.0 * (k != p[-1]) + scores[t, k], (*p, k)) for v, p in best.values()) for k in range(3)}
-        if best:
-            assert worth(scores[a:b], got[a:b]) == pytest.approx(max(v for v, _ in best.values()))
-            top, firm = language_id.steady(scores[a:b], np.array([0]), np.array([b - a]), 4.0)
-            if firm[0]:
-                assert worth(scores[a:b], [top[0]] * (b - a)) == pytest.approx(max(v for v, _ in best.values()))
+    firm_ones = 0
+    for n in range(2, 7):
+        sizes = draw.integers(1, 25, 2000)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        drift = np.repeat(draw.normal(scale=1.5, size=(2000, n)), sizes, axis=0)
+        scores = draw.normal(scale=draw.choice([0.5, 2, 4]), size=(bounds[-1], n)) + drift
+        path = language_id.viterbi(scores, bounds[:-1], bounds[1:], 6.0)
+        best, firm = language_id.steady(scores, bounds[:-1], bounds[1:], 6.0)
+        firm_ones += int(firm.sum())
+        for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            most = best_worth(scores[a:b], 6.0)
+            assert worth(scores[a:b], path[a:b], 6.0) == pytest.approx(most)
+            if firm[d]:
+                assert worth(scores[a:b], np.full(b - a, best[d]), 6.0) == pytest.approx(most)
+    assert 1000 < firm_ones < 10_000
+
+
+def test_steady_heeds_switches_among_other_languages():
+    """Language 0 scores nothing throughout, 1 gains and then loses, 2 the other way round: two stretches of others, one switch between them."""
+    scores = np.zeros((20, 3))
+    scores[:10, 1], scores[10:, 1] = 1.1, -1.2
+    scores[:10, 2], scores[10:, 2] = -1.2, 1.1
+    best, firm = language_id.steady(scores, np.array([0]), np.array([20]), 12.0)
+    path = language_id.viterbi(scores, np.array([0]), np.array([20]), 12.0)
+    assert best[0] == 0 and not firm[0] and path.tolist() == [1] * 10 + [2] * 10
+    assert worth(scores, path, 12.0) == pytest.approx(10)
+
+
+def test_languages_by_script_and_in_great_number(spark):
+    """More languages than any list of names: those of one script never compete for words of another."""
+    draw = random.Random(2)
+    langs = {f"l{k:04d}": ["".join(chr((0x61 if k % 2 else 0x430) + draw.randint(0, 25)) for _ in range(6)) for _ in range(8)] for k in range(1010)}
+    table = [(k, " ".join(words), lang) for k, (lang, words) in enumerate(langs.items())]
+    model = language_id.train(spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1))
+    assert len(model.langs) == 1010
+    asked = [(k, " ".join(draw.choices(langs[f"l{k:04d}"], k=30))) for k in range(0, 1010, 101)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string").coalesce(1), model).collect()}
+    assert got == {k: f"l{k:04d}" for k, _ in asked}
+
+
+def test_languages_of_the_given_documents(spark, sf_dir):
+    """Held-out documents of the tables: nearly all labels are found."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = language_id.held_out_languages(docs, Workspace(spark, "test")).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id")
+    held = [(r.lang_pred, r.lang) for r in got.collect() if r.lang and re.search("[a-z]", r.text or "")]
+    assert len(held) > 20 and sum(a == b for a, b in held) / len(held) > 0.97
 
 
 def test_token_counts(docs, rows, work):
@@ -245,6 +312,18 @@ def test_packing(docs, rows, work):
     assert packing.packed(docs.limit(0), work).count() == 0
 
 
+def test_packing_needs_few_sequences(spark, monkeypatch):
+    """Pieces of many lengths, in one stream and in several: few sequences above the lower bound, and none overfull."""
+    draw = random.Random(3)
+    lengths = [draw.randint(1, 400) if k % 4 else draw.randint(400, 2048) for k in range(6000)]
+    cut = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECES)
+    for stream, most in ((50_000, 1.02), (1500, 1.06)):
+        monkeypatch.setattr(packing, "STREAM", stream)
+        got = packing.pack(cut).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert max(r.n for r in got) <= 2048 and sum(r.n for r in got) == sum(lengths)
+        assert len(got) <= most * -(-sum(lengths) // 2048)
+
+
 def test_packer_is_best_fit_with_bounded_bins():
     draw = random.Random(6)
     packer, open_, made = packing.Packer(50, 4), {}, 0
@@ -300,12 +379,32 @@ def test_mixing(docs, rows, work):
     assert out.columns == docs.columns
     words = Counter()
     for r in out.collect():
-        words[r.source] += count(r.text)
+        words[r.doc_id] += count(r.text)
         assert r.n_chars == len(r.text or "")
-    assert +words == +taken
+    assert +words == +Counter({r.doc_id: r.taken for r in got})
     assert mixing.mixture(docs.limit(0), work).count() == 0 and mixing.mixed(docs.limit(0), work).count() == 0
 
 
+def test_mixing_over_many_ranges_and_equal_rows(spark, monkeypatch):
+    """Small key ranges, and a source of equal rows alone, so that its cut falls among them."""
+    monkeypatch.setattr(mixing, "RANGE", 10)
+    table = [(k, "w " * (k % 9), "a" if k % 3 else "b") for k in range(300)] + [(1000, "x y z", "c")] * 7 + [(None, "v " * 4, "d")] * 2
+    df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3).withColumn("link", F.lit("clash")).withColumn("words", F.lit("clash"))
+    sizes = Counter()
+    for _, t, s in table:
+        sizes[s] += len(t.split())
+    want = {s: int(t + 1e-6) for s, t in level(sizes).items()}
+    taken, words = Counter(), Counter()
+    got = mixing.mixture(df, Workspace(spark, "test")).collect()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    out = mixing.mixed(df, Workspace(spark, "test"))
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+    assert out.columns == df.columns and dict(taken) == dict(words) == want
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1000, "b": 1, "c": 1, "d": 5}, {"a": 0, "b": 7, None: 3}, {"a": 5}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -423,6 +522,39 @@ def test_jaccard_with_null_ids_first(spark):
     assert kept == Counter({None: 12, **{i: 1 for i, c in want.items() if i == c}})
 
 
+def test_jaccard_of_very_long_texts(spark, monkeypatch):
+    """A text with more keys in a bucket than 16 bits count, longer than a block, and a near copy of it."""
+    monkeypatch.setattr(jaccard_join, "BUCKETS", 1)
+    draw = random.Random(8)
+    words = [f"{draw.getrandbits(40):x}" for _ in range(130_000)]
+    texts = [" ".join(words), " ".join([*words, "tail"]), " ".join(words[:20_000])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, Workspace(spark, "test")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {0: (129_996, 0), 1: (129_997, 0), 2: (19_996, 2)}
+
+
+@pytest.mark.parametrize(("cluster", "members"), [(8192, 20_000), (3, 10)])
+def test_clusters_in_parts_lose_no_link(spark, monkeypatch, cluster, members):
+    """Random sets around the threshold that share most of a passage, compared whole and in small parts; against brute force."""
+    monkeypatch.setattr(jaccard_join, "CLUSTER", cluster)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    draw = random.Random(cluster)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for _ in range(60):
+        words = [*passage[draw.randint(0, 6) :], *(f"u{draw.randint(0, 10**6)}" for _ in range(draw.randint(0, 12)))]
+        texts.append(" ".join(words))
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(df, Workspace(spark, "test")).collect()}
+    assert got == roots(links, sets) and len(links) > 50
+
+
 def test_segments_never_miss_a_link():
     """Random pairs at the threshold always share a key, whatever counts as frequent."""
     draw = np.random.default_rng(3)
@@ -467,6 +599,26 @@ def test_quality(spark, docs, work):
     assert all(0 <= r.score <= 1 for r in quality.held_out_quality(docs, labels.limit(0), Workspace(spark, "test")).collect())
 
 
+def test_quality_of_the_given_documents(spark, sf_dir):
+    """Held-out labels of the tables: the area under the curve, and the same scores in a second run over rows in another order."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    first = {r.doc_id: r.score for r in quality.held_out_quality(docs, labels, Workspace(spark, "test")).collect()}
+    held = [(first[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    ones, zeros = ([x for x, q in held if q == k] for k in (1, 0))
+    assert sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.95
+    again = {r.doc_id: r.score for r in quality.held_out_quality(docs.repartition(7), labels, Workspace(spark, "test")).collect()}
+    assert again == first
+
+
+def test_quality_of_repeated_ids_in_any_order(spark):
+    """Rows of one doc_id are fitted in the order of their features, so a rerun gives the same scores."""
+    table = [(k % 40, f"{'good river ' * (k % 7)}{'BAD!! ' * (k % 5)}") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    runs_ = [Counter((r.doc_id, r.score) for r in quality.held_out_quality(d, labels, Workspace(spark, "test")).collect()) for d in (df.repartition(3), df.orderBy(F.col("text").desc()))]
+    assert runs_[0] == runs_[1] and sum(runs_[0].values()) == 200
+
+
 def test_pairs_by_the_sum_of_squares_identity():
     machine = quality.Machine()
     machine.v[:] = np.random.default_rng(1).normal(size=machine.v.shape)
@@ -525,6 +677,24 @@ def test_licenses_retrieved_as_by_brute_force():
     assert got == want
 
 
+def test_licenses_of_the_given_documents(spark, sf_dir):
+    """All documents against all templates of the query's list, by containment in windows of every place; all matches of the brute force are found."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    index = license_scan.Index(license_scan.TEMPLATES | license_notices.whole_texts(), 0.75, 1e-4, exact=license_notices.notices())
+    got = {(r.doc_id, r.license) for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = set()
+    for d, text in docs:
+        words = license_scan.words_of(text or "")
+        held = {w: license_scan.grams(words, w) for w in {t[2] for t in index.templates}}
+        for name, own, width, shingles, least in index.templates:
+            if len(shingles & held[width]) < least * len(shingles):
+                continue
+            span = len(own) + max(1, len(own) // 2)
+            if any(license_scan.containment(shingles, words[k : k + span], width) >= least for k in range(max(1, len(words) - span + 1))):
+                want.add((d, name))
+    assert want and want <= got
+
+
 def test_exact(docs, rows, work, spark):
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, _ in rows}
     groups = defaultdict(list)
@@ -561,3 +731,9 @@ def test_repeated_and_null_ids(spark):
     assert jaccard_join.similar_components(df, work()).count() == 5
     assert suffix_dedup.repeated_bytes(df, work()).count() == 5
     assert mixing.mixed(df, work()).count() >= 1
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert Counter(r.doc_id for r in quality.held_out_quality(df, labels, work()).collect()) == Counter({1: 3, None: 1, 2: 1})
+    found = language_id.held_out_languages(df.withColumn("lang", F.lit("en")), work()).collect()
+    assert Counter((r.doc_id, r.lang_pred) for r in found) == Counter({(1, "en"): 3, (None, "en"): 1, (2, "und"): 1})
+    notice = df.withColumn("text", F.concat("text", F.lit(" Released under the MIT License.")))
+    assert Counter(r.doc_id for r in license_scan.license_scan(notice).where("license = 'mit'").collect()) == Counter({1: 3, None: 1})
