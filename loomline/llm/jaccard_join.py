@@ -407,6 +407,15 @@ def across(stars: DataFrame, label: DataFrame, infos: DataFrame, work: Workspace
     return dealt.groupBy("bucket").applyInArrow(_across(best), "a long, b long").distinct()
 
 
+def _of_classes(stars: DataFrame, infos: DataFrame, work: Workspace) -> DataFrame:
+    """``stars`` between the first ids of each print, so that a set which stands in many blocks is compared once."""
+    first = infos.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    other = work.write(join_hot(infos.select("id", "print"), first, "print", "size", work, "classes").where("id <> first").select("id", "first"), "others")
+    for end in ("a", "b"):
+        stars = stars.join(other.select(F.col("id").alias(end), "first"), end, "left").withColumn(end, F.coalesce("first", end)).select("a", "b")
+    return stars.where("a <> b").distinct()
+
+
 def labelled(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, comp) of all that ``links`` join, each component's smallest included."""
     found = components(links, work, f"{name}-cc")
@@ -416,8 +425,8 @@ def labelled(links: DataFrame, work: Workspace, name: str) -> DataFrame:
 def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text).
 
-    Documents with equal shingle sets form a class by a 128-bit print, and one of
-    each stands for it. Sets that share a segment's key make up a cluster around
+    Documents with equal shingle sets form a class by a 128-bit print, and the first
+    of each stands for it. Sets that share a segment's key make up a cluster around
     the first of them. Each set's nearest link to such a first one is checked
     exactly. What is then joined needs no further check; in clusters that still
     hold several components, pairs across these are compared by sketch, and those
@@ -442,7 +451,8 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     rows = made.where("id is not null").select("id", "doc_id", "n", "print", "sketch")
     infos = rows.where("sketch is not null and doc_id is not null")
     packed = made.where("bucket is not null").select("bucket", "block", "keys", "kind", "per_doc")
-    stars = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
+    stars = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "met")
+    stars = work.write(_of_classes(stars, infos, work), "stars")
     tested = work.write(nearest(near(stars, infos)), "first-pairs")
     sets = sets_of(tested.select(F.col("a").alias("id")).union(tested.select("b")), docs, infos, work, "first")
     links = verified(tested, sets, work, "first")

@@ -548,6 +548,7 @@ def test_clusters_in_parts_lose_no_link(spark, monkeypatch, cluster, members):
     for _ in range(60):
         words = [*passage[draw.randint(0, 6) :], *(f"u{draw.randint(0, 10**6)}" for _ in range(draw.randint(0, 12)))]
         texts.append(" ".join(words))
+    texts += draw.sample(texts, 20) * 2  # equal sets in many blocks
     sets = {i: shingle_set(t) for i, t in enumerate(texts)}
     links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
