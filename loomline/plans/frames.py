@@ -144,26 +144,56 @@ def scalar_udf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_udf(spark: SparkSession, d: str) -> DataFrame:
-    """A row-at-a-time function, for what columns can't say; Arrow carries its rows."""
+    """A row-at-a-time function, for what columns can't say: the distance of two strings where swapped neighbours count once; Arrow carries its rows."""
 
-    @F.udf("string", useArrow=True)
-    def initials(name: str) -> str:
-        return "".join(w[0] for w in name.split())
+    ship(spark)
+
+    @F.udf("long", useArrow=True)
+    def swaps(x: str | None, y: str | None) -> int | None:
+        return None if x is None or y is None else edits(x, y)
+
+    return read(spark, d, "part").select("p_partkey", swaps("p_name", "p_type").alias("edits"))
 
-    return read(spark, d, "part").select("p_partkey", initials("p_name").alias("initials"))
+
+def edits(x: str, y: str) -> int:
+    """Insertions, deletions, replacements and swaps of neighbours that turn x into y, edits between swapped letters allowed."""
+    most = len(x) + len(y)
+    cost = {(-1, j): most for j in range(-1, len(y) + 1)} | {(i, -1): most for i in range(len(x) + 1)}
+    cost |= {(i, 0): i for i in range(len(x) + 1)} | {(0, j): j for j in range(len(y) + 1)}
+    row_of: dict[str, int] = {}
+    for i, a in enumerate(x, 1):
+        met = 0
+        for j, b in enumerate(y, 1):
+            k, m = row_of.get(b, 0), met
+            if a == b:
+                met = j
+            cost[i, j] = min(cost[i - 1, j - 1] + (a != b), cost[i, j - 1] + 1, cost[i - 1, j] + 1, cost[k - 1, m - 1] + i - k + j - m - 1)
+        row_of[a] = i
+    return cost[len(x), len(y)]
 
 
 def table_udf(spark: SparkSession, d: str) -> DataFrame:
-    """A function from a row to rows: the words of each part's type, numbered."""
+    """A function from ordered rows to rows: each customer's orders in batches, a new one where the total would exceed 400,000.
+
+    What a batch holds depends on where the one before ended, which no window can
+    say. The state is one number, whatever the number of a customer's orders.
+    """
 
-    @F.udtf(returnType="p_partkey bigint, place int, word string")
-    class Words:
-        def eval(self, key: int, text: str):  # noqa: ANN202
-            for k, word in enumerate(text.split()):
-                yield key, k, word
+    @F.udtf(returnType="o_custkey bigint, o_orderkey bigint, batch bigint")
+    class Batches:
+        def __init__(self) -> None:
+            self.batch, self.total = 0, 0
 
-    spark.udtf.register("loomline_words", Words)
-    return spark.sql("select w.* from {part} p, lateral loomline_words(p.p_partkey, p.p_type) w", part=read(spark, d, "part"))
+        def eval(self, row):  # noqa: ANN001, ANN202
+            cents = round(row["o_totalprice"] * 100)
+            self.total += cents
+            if self.total > 40_000_000:
+                self.batch, self.total = self.batch + 1, cents
+            yield row["o_custkey"], row["o_orderkey"], self.batch
+
+    spark.udtf.register("loomline_batches", Batches)
+    orders = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return spark.sql("select * from loomline_batches(table({orders}) partition by o_custkey order by (o_orderdate, o_orderkey))", orders=orders)
 
 
 def grouped_aggregate_udf(spark: SparkSession, d: str) -> DataFrame:
@@ -178,23 +208,34 @@ def grouped_aggregate_udf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_map(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's gaps between events, in microseconds, by a function of the user's rows."""
+    """Events thinned by a function of a user's rows of a day: the first one, then each that comes four hours or more after the last kept.
+
+    Which rows stay depends on those kept before, which no window can say. Days cut
+    a busy user's events in groups.
+    """
 
-    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"])
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "gap_us": pdf["ts"].astype("datetime64[us]").astype("int64").diff().fillna(0).astype("int64")})
+        kept, last = [], None
+        for t in pdf["ts"]:
+            kept.append(last is None or t - last >= pd.Timedelta(hours=4))
+            last = t if kept[-1] else last
+        return pdf.loc[kept, ["user_id", "event_id"]]
 
-    return read(spark, d, "events").select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(gaps, "user_id long, event_id long, gap_us long")
+    rows = read(spark, d, "events").select("user_id", "event_id", "ts")
+    return rows.groupBy("user_id", F.to_date("ts")).applyInPandas(thin, "user_id long, event_id long")
 
 
 def partition_map(spark: SparkSession, d: str) -> DataFrame:
-    """A function over batches of any size: one row out for each row in."""
+    """A function over batches of any size: texts whose letters are stored apart from their accents, composed again by Unicode's rules; rows it leaves as they are don't come back."""
 
-    def double(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(value=(pdf["value"] * 2).round(6))
+            apart = pdf["text"].map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+            whole = apart.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+            yield pdf.assign(text=whole)[whole != apart]
 
-    return read(spark, d, "events").select("event_id", "value").mapInPandas(double, "event_id long, value double")
+    return read(spark, d, "documents").select("doc_id", "text").where("text is not null").mapInPandas(composed, "doc_id long, text string").select("doc_id", F.md5("text").alias("composed_md5"))
 
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -237,14 +278,29 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
            from (select page_id, url, unnest(range(page_id % 3 + 1)) as k from pages where page_id % 10 <> 9)""",
     ),
     "b46_pandas_udf": (scalar_udf, "select doc_id, md5(strip_accents(text)) as plain_md5 from documents"),
-    "b46_python_udf": (row_udf, "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') as initials from part"),
-    "b46_table_function": (table_udf, "select p_partkey, cast(unnest(range(len(string_split(p_type, ' ')))) as int) as place, unnest(string_split(p_type, ' ')) as word from part"),
+    "b46_python_udf": (row_udf, "select p_partkey, damerau_levenshtein(p_name, p_type) as edits from part"),
+    "b46_table_function": (
+        table_udf,
+        """with recursive o as (select o_custkey, o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders),
+           r as (select o_custkey, o_orderkey, k, cents as total, case when cents > 40000000 then 1 else 0 end as batch from o where k = 1
+             union all select o.o_custkey, o.o_orderkey, o.k, case when r.total + o.cents > 40000000 then o.cents else r.total + o.cents end, r.batch + case when r.total + o.cents > 40000000 then 1 else 0 end
+             from r join o on o.o_custkey = r.o_custkey and o.k = r.k + 1)
+           select o_custkey, o_orderkey, cast(batch as bigint) as batch from r""",
+    ),
     "b47_aggregate_udf": (
         grouped_aggregate_udf,
         "select user_id, round(avg(value), 6) as middle from (select *, row_number() over (partition by user_id order by value) - 1 as k, count(*) over (partition by user_id) as n from events) where k >= n // 4 and k < n - n // 4 group by 1",
     ),
-    "b47_grouped_map": (grouped_map, "select user_id, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)), 0) as gap_us from events"),
-    "b47_partition_map": (partition_map, "select event_id, round(value * 2, 6) as value from events"),
+    "b47_grouped_map": (
+        grouped_map,
+        """with recursive e as (select user_id, event_id, ts, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as k from events),
+           r as (select user_id, event_id, day, k, ts as last, true as kept from e where k = 1
+             union all select e.user_id, e.event_id, e.day, e.k, case when e.ts - r.last >= interval '4 hours' then e.ts else r.last end, e.ts - r.last >= interval '4 hours'
+             from r join e on e.user_id = r.user_id and e.day = r.day and e.k = r.k + 1)
+           select user_id, event_id from r where kept""",
+    ),
+    # strip_accents tells which texts have letters that decompose
+    "b47_partition_map": (partition_map, "select doc_id, md5(nfc_normalize(text)) as composed_md5 from documents where strip_accents(text) <> nfc_normalize(text)"),
     "b53_page_titles": (titles, "select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages"),
     "b54_page_text": (texts_of_pages, None),
     "b55_centroid_cosine": (

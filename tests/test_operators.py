@@ -93,3 +93,10 @@ def test_page_text():
     page = "<html><head><title>t</title><script>var a = '</p>';</script><style>p{}</style></head><body><p>One <b>two<p>three &amp; four<br>five</body></html>"
     assert text_of(page) == "One two\nthree & four\nfive"
     assert text_of("") == "" and text_of(None) is None
+
+
+@pytest.mark.parametrize(("x", "y", "want"), [("", "", 0), ("", "abc", 3), ("abc", "", 3), ("ab", "ba", 1), ("ca", "abc", 2), ("kitten", "sitting", 3), ("aa", "aa", 0)])
+def test_edits_with_swaps(x, y, want):
+    from loomline.plans.frames import edits
+
+    assert edits(x, y) == edits(y, x) == want
