@@ -47,7 +47,7 @@ class Splitter:
     """Pre-tokens of texts, as the vocabulary's own splitting gives them; a special token's string is one by itself."""
 
     def __init__(self, path: str) -> None:
-        tokenizer = load(path)
+        self.tokenizer = tokenizer = load(path)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         self.between = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
