@@ -14,3 +14,10 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null for a zero vector."""
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: not null or empty, all components finite, and one not zero."""
+    one = vector.cast("array<double>")
+    fine = F.forall(one, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(fine & F.exists(one, lambda x: x != 0), F.lit(False))

@@ -1,7 +1,7 @@
 """Relational operators that Spark has no single call for, on plain DataFrames."""
 
 from .joins import as_of_join, interval_join
-from .search import nearest_neighbours
+from .search import build_index, nearest_neighbours, open_index
 from .shaping import distinct_on, qualify, top_per_group, unpivot
 
-__all__ = ["as_of_join", "distinct_on", "interval_join", "nearest_neighbours", "qualify", "top_per_group", "unpivot"]
+__all__ = ["as_of_join", "build_index", "distinct_on", "interval_join", "nearest_neighbours", "open_index", "qualify", "top_per_group", "unpivot"]
