@@ -122,9 +122,13 @@ def _frequent(pairs: bool, head: int):
     return frequent
 
 
-def frequent(texts: DataFrame, pairs: bool, head: int = HEAD) -> list[bytes]:
+def frequent(texts: DataFrame, work: Workspace, pairs: bool, head: int = HEAD) -> list[bytes]:
     """The ``head`` words, or pairs, of most occurrences, at most; HEAD strings of LETTERS bytes on the driver."""
     found = texts.select("text").mapInArrow(_frequent(pairs, head), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = work.write(found, "pairs" if pairs else "words")
+    # No more than 4 * head of them can have such a share of what all of them have, so no more are sorted or sent.
+    least = (found.agg(F.sum("n")).first()[0] or 0) // (4 * head)
+    found = found.where(F.col("n") >= least)
     return [bytes(r.word) for r in found.orderBy(F.col("n").desc(), "word").limit(head).collect()]
 
 
@@ -215,8 +219,8 @@ def resampled(docs: DataFrame, target: DataFrame, work: Workspace, longest: int
     """
     spark = docs.sparkSession
     docs, target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), target.select("text")
-    states = {w: crc32(w) for w in frequent(docs, False, head)}
-    pairs = {w: crc32(w) % buckets for w in frequent(docs, True, head)} if longest > 1 else {}
+    states = {w: crc32(w) for w in frequent(docs, work, False, head)}
+    pairs = {w: crc32(w) % buckets for w in frequent(docs, work, True, head)} if longest > 1 else {}
     features = spark.sparkContext.broadcast(Features(states, pairs, longest, buckets))  # HEAD words and pairs, at most
     gain = spark.sparkContext.broadcast(gains(totals(docs, features, buckets), totals(target, features, buckets)))  # a number a bucket
     weighed = docs.mapInArrow(_weights(features, gain), "doc_id long, n_words long, n_features long, weight long")
