@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hot import join_hot
-from .textual import mix, narrow, runs, slices, span_hashes
+from .textual import Packs, batch_of, first_id, mix, runs, slices, span_hashes, unpacked
 from .workspace import Workspace, shuffle_width
 
 SHINGLE = 5
@@ -174,68 +174,99 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts > usual + 8 * np.sqrt(usual) + 32, int(counts.sum())
 
 
-SKETCHES = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("kind", pa.string()), ("per_doc", pa.binary())])
-SKETCHES_DDL = "id long, doc_id long, n long, print binary, sketch binary, bucket int, block long, keys binary, kind string, per_doc binary"
+SKETCHES = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sketch", pa.binary()), ("key", pa.int64()), ("members", pa.list_(pa.int64())), *Packs.FIELDS, ("keys", pa.binary()), ("whole", pa.binary())])
+SKETCHES_DDL = "id long, doc_id long, n long, print binary, sketch binary, key long, members array<long>, bucket int, base long, kinds string, gaps binary, counts binary, keys binary, whole binary"
 
+#: A key of more documents in one pack of a task: its first one goes to the key's bucket for all, so that no key of very many documents gathers there.
+HOT_HERE = 64
 
-def _sketch(held, buckets: int):
-    """A row per document with its sketch, and a row per block and bucket with segment keys as packed arrays."""
+
+def _sketch(held, buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE):
+    """A row per document with its sketch, a row per key that many documents of a pack hold, and a row per bucket and pack with segment keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.unpackbits(held.value).astype(bool)
-        block = TaskContext.get().partitionId() << 24
+        base = first_id(TaskContext.get().partitionId())
+        packs, number = Packs(buckets, base, most), 0
+        entries: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not entries:
+                return
+            key, doc = (np.concatenate(c) for c in zip(*entries, strict=True))
+            entries.clear()
+            order = np.lexsort([doc, key])
+            key, doc = key[order], doc[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            key, doc = key[new], doc[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(first, append=len(key))
+            many = np.repeat(count > hot_here, count)
+            stands = np.zeros(len(key), np.uint8)
+            stands[first[count > hot_here]] = 1
+            if many.any():
+                sizes = count[count > hot_here]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(base + doc[many]))
+                yield batch_of(SKETCHES, {"key": pa.array(key[stands > 0].view(np.int64)), "base": pa.array(base + doc[stands > 0]), "members": lists})
+            keep = ~many | (stands > 0)
+            key, doc, stands = key[keep], doc[keep], stands[keep]
+            packs.add(((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), doc, keys=key, whole=stands)
+            yield batch_of(SKETCHES, packs.flush())
+
         for batch in batches:
             for some in slices(batch, BLOCK):
                 ids = some.column("doc_id").to_pylist()
                 h, bounds = shingles(some.column("text").to_pylist())
                 n = np.diff(bounds)
                 print_of = prints(h, bounds)
-                seen, rows, fresh = {}, [], np.zeros(len(n), bool)
+                seen, fresh = {}, np.zeros(len(n), bool)
                 sketches = folded(h, bounds)
                 for d, doc_id in enumerate(ids):
-                    print_ = print_of[d] if n[d] else None
-                    fresh[d] = bool(n[d]) and doc_id is not None and seen.setdefault(print_, d) == d
-                    rows.append({"id": (block << 20) | d, "doc_id": doc_id, "n": int(n[d]), "print": print_, "sketch": sketches[d] if fresh[d] else None})
-                yield pa.RecordBatch.from_pylist(rows, SKETCHES)
+                    fresh[d] = bool(n[d]) and doc_id is not None and seen.setdefault(print_of[d], d) == d
+                columns = {"id": pa.array(base + number + np.arange(len(n))), "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n.astype(np.int64))}
+                columns |= {"print": pa.array([p if m else None for p, m in zip(print_of, n, strict=True)], pa.binary()), "sketch": pa.array([x if f else None for x, f in zip(sketches, fresh, strict=True)], pa.binary())}
+                yield batch_of(SKETCHES, columns)
                 # Of equal sets in a block, one is looked for, that of a row with an id.
-                doc = np.repeat(np.arange(len(n)), n)
-                keep = fresh[doc]
+                keep = fresh[np.repeat(np.arange(len(n)), n)]
                 kept = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))])
-                keys, docs = [], []
                 for up in (0, 1):
                     key, at = segment_keys(h[keep], kept, heavy, up)
-                    keys.append(key)
-                    docs.append(np.repeat(np.arange(len(n)), np.diff(at)))
-                key, doc = np.concatenate(keys), np.concatenate(docs)
-                home = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort([doc, home])
-                key, doc = key[order], doc[order]
-                ends = np.searchsorted(home[order], np.arange(buckets + 1))
-                rows = []
-                for b, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if e > s:
-                        per = narrow(np.bincount(doc[s:e], minlength=len(n)))
-                        rows.append({"bucket": b, "block": block, "keys": key[s:e].tobytes(), "kind": per.dtype.str, "per_doc": per.tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, SKETCHES)
-                block += 1
+                    entries.append((key, number + np.repeat(np.arange(len(n)), np.diff(at))))
+                number += len(n)
+                if sum(len(k) for k, _ in entries) >= most:
+                    yield from flush()
+        yield from flush()
 
     return sketch
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Links of all sets that share a key to the first of them, each once."""
-    keys, ids = [], []
-    for row in table.select(["block", "keys", "kind", "per_doc"]).to_pylist():
-        per = np.frombuffer(row["per_doc"], row["kind"])
+    """Links of all sets that share a key to the first of them, each once; with the key, where the set stands for others of its pack."""
+    keys, ids, whole = [], [], []
+    for row in table.select(["base", "kinds", "gaps", "counts", "keys", "whole"]).to_pylist():
         keys.append(np.frombuffer(row["keys"], np.uint64))
-        ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
-    key, id_ = np.concatenate(keys), np.concatenate(ids)
+        whole.append(np.frombuffer(row["whole"], np.uint8))
+        ids.append(unpacked(row))
+    key, id_, stands = np.concatenate(keys), np.concatenate(ids), np.concatenate(whole) > 0
     order = np.lexsort([id_, key])
-    key, id_ = key[order], id_[order]
+    key, id_, stands = key[order], id_[order], stands[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    star = np.repeat(id_[first], np.diff(np.concatenate([first, [len(key)]])))
-    pairs = np.unique(np.stack([star, id_], 1)[star != id_], axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    star = np.repeat(id_[first], np.diff(first, append=len(key)))
+    pairs = np.unique(np.stack([star, id_], 1)[(star != id_) & ~stands], axis=0)
+    a, b = np.concatenate([pairs[:, 0], star[stands]]), np.concatenate([pairs[:, 1], id_[stands]])
+    of = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), key[stands].view(np.int64)]), mask=np.arange(len(a)) < len(pairs))
+    return pa.table({"a": a, "b": b, "key": of})
+
+
+def stars_of(made: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): all sets that share a key with the first of them, each pair once."""
+    packed = made.where("bucket is not null").select("bucket", "base", "kinds", "gaps", "counts", "keys", "whole")
+    met = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long, key long"), "met-keys")
+    pairs = met.where("key is null").select("a", "b")
+    if met.where("key is not null").head(1):
+        hubs = met.where("key is not null").select("key", F.col("b").alias("base"), "a")
+        pairs = pairs.union(made.where("members is not null").select("key", "base", "members").join(hubs, ["key", "base"]).select("a", F.explode("members").alias("b")).where("a <> b"))
+    return pairs.distinct()
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,8 +481,7 @@ def similar_components(docs: DataFrame, work: Workspace) -> DataFrame:
     made = work.write(docs.mapInArrow(_sketch(held, width), SKETCHES_DDL), "sketches")
     rows = made.where("id is not null").select("id", "doc_id", "n", "print", "sketch")
     infos = rows.where("sketch is not null and doc_id is not null")
-    packed = made.where("bucket is not null").select("bucket", "block", "keys", "kind", "per_doc")
-    stars = work.write(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "met")
+    stars = work.write(stars_of(made, work), "met")
     stars = work.write(_of_classes(stars, infos, work), "stars")
     tested = work.write(nearest(near(stars, infos)), "first-pairs")
     sets = sets_of(tested.select(F.col("a").alias("id")).union(tested.select("b")), docs, infos, work, "first")

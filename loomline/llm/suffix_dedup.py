@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hot import join_hot
-from .textual import BASE, mix, powers, slices
+from .textual import BASE, Packs, batch_of, first_id, mix, powers, slices, unpacked
 from .workspace import Workspace, shuffle_width
 
 LENGTH = 200
@@ -76,55 +76,79 @@ def block_bytes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[byte
     return np.frombuffer(b"".join(texts), np.uint8), bounds, texts
 
 
-FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("at", pa.binary()), ("per_doc", pa.binary())])
-FOUND_DDL = "id long, doc_id long, sha string, n_bytes long, bucket int, block long, grams binary, at binary, per_doc binary"
+FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("at_hot", pa.list_(pa.int64())), *Packs.FIELDS, ("grams", pa.binary()), ("at", pa.binary())])
+FOUND_DDL = "id long, doc_id long, sha string, n_bytes long, at_hot array<long>, bucket int, base long, kinds string, gaps binary, counts binary, grams binary, at binary"
 
+#: A gram of more occurrences in one pack of a task is hot. One of them goes to its bucket for all, so that no gram of very many occurrences gathers there.
+HOT_HERE = 64
+#: In the place of an occurrence: it stands for all those of a hot gram in a task's pack.
+FOR_ALL = (1 << 32) - 1
 
-def _find(buckets: int):
-    """A row per document, and a row per block and bucket with its anchors as packed arrays."""
+
+def _find(buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE):
+    """A row per document, rows of the places of grams that are hot already, and a row per bucket and pack with its anchors."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        base = first_id(TaskContext.get().partitionId())
+        packs, number = Packs(buckets, base, most), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            gram, at, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            _, index, inverse, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+            many = count[inverse] > hot_here
+            stands = np.zeros(len(gram), bool)
+            stands[index[count > hot_here]] = True
+            if many.any():
+                d, a = doc[many], at[many]
+                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)).astype(np.int32)), pa.array(a.astype(np.int64)))
+                yield batch_of(FOUND, {"base": pa.array(base + d[first]), "at_hot": lists})
+            keep = ~many | stands
+            at = np.where(stands, FOR_ALL, at)
+            gram, at, doc = gram[keep], at[keep].astype(np.uint32), doc[keep]
+            packs.add(((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), doc, grams=gram, at=at)
+            yield batch_of(FOUND, packs.flush())
+
         for batch in batches:
             for part in slices(batch, BLOCK):
                 data, bounds, texts = block_bytes(part)
                 shas = [hashlib.sha256(t).hexdigest() for t in texts]
                 ids = part.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_pylist([{"id": (block << 20) | d, "doc_id": ids[d], "sha": shas[d], "n_bytes": len(t)} for d, t in enumerate(texts)], FOUND)
+                yield batch_of(FOUND, {"id": pa.array(base + number + np.arange(len(texts))), "doc_id": pa.array(ids, pa.int64()), "sha": pa.array(shas), "n_bytes": pa.array(np.diff(bounds))})
                 fresh = np.zeros(len(texts), bool)
                 fresh[list({s: d for d, s in reversed(list(enumerate(shas)))}.values())] = True
                 _, _, anchor, gram = anchors(data, bounds)
                 doc = np.searchsorted(bounds, anchor, "right") - 1
                 keep = fresh[doc]  # of equal texts in a block, one is looked for
                 anchor, gram, doc = anchor[keep], gram[keep], doc[keep]
-                home = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                anchor, gram, doc = anchor[order], gram[order], doc[order]
-                ends = np.searchsorted(home[order], np.arange(buckets + 1))
-                rows = []
-                for b, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if e > s:
-                        rows.append({"bucket": b, "block": block, "grams": gram[s:e].tobytes(), "at": (anchor[s:e] - bounds[doc[s:e]]).astype(np.uint32).tobytes(), "per_doc": np.bincount(doc[s:e], minlength=len(texts)).astype(np.uint32).tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, FOUND)
-                block += 1
+                held.append((gram, anchor - bounds[doc], doc + number))
+                number += len(texts)
+                if sum(len(h[0]) for h in held) >= most:
+                    yield from flush()
+        yield from flush()
 
     return find
 
 
 def _repeated(hot: int):
-    """(id, at, hot) of the anchors whose gram occurs more than once."""
+    """(id, at, hot) of the anchors whose gram occurs more than once; of those that are hot in their pack, these are known before."""
 
     def repeated(table: pa.Table) -> pa.Table:
         grams, ids, at = [], [], []
-        for row in table.select(["block", "grams", "at", "per_doc"]).to_pylist():
-            per = np.frombuffer(row["per_doc"], np.uint32)
+        for row in table.select(["base", "kinds", "gaps", "counts", "grams", "at"]).to_pylist():
             grams.append(np.frombuffer(row["grams"], np.uint64))
             at.append(np.frombuffer(row["at"], np.uint32))
-            ids.append((row["block"] << 20) | np.repeat(np.arange(len(per)), per))
+            ids.append(unpacked(row))
         gram, id_, place = np.concatenate(grams), np.concatenate(ids), np.concatenate(at)
         _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+        stands = place == FOR_ALL
+        count = count + np.bincount(inverse, stands) * (hot + 1)
         count = count[inverse]
-        keep = count > 1
+        keep = (count > 1) & ~stands
         return pa.table({"id": id_[keep], "at": place[keep].astype(np.int64), "hot": count[keep] > hot})
 
     return repeated
@@ -397,7 +421,8 @@ def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     for all. Only anchors whose gram repeats go on, with the string around them, to
     the bucket of their gram; there the strings are sorted both ways from the
     anchor. Strings that repeat in a block travel once. A gram of more than ``hot``
-    occurrences is split: each of its windows is a group of its own, found by a
+    occurrences, or of more than HOT_HERE in a pack of one task, which is told before
+    its occurrences gather, is split: each of its windows is a group of its own, found by a
     print, counted before and after the shuffle and compared byte by byte, so that
     no common passage gathers in one task. Groups and buckets number as many as
     the bytes and strings ask for.
@@ -412,8 +437,9 @@ def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     buckets = max(width, 2 * size // (REACH + 2) // ANCHORS)
     found = work.write(docs.mapInArrow(_find(buckets), FOUND_DDL), "anchors")
     info = found.where("id is not null").select("id", "doc_id", "sha", "n_bytes")
-    packed = found.where("bucket is not null").select("bucket", "block", "grams", "at", "per_doc")
+    packed = found.where("bucket is not null").select("bucket", "base", "kinds", "gaps", "counts", "grams", "at")
     again = packed.groupBy("bucket").applyInArrow(_repeated(hot), "id long, at long, hot boolean")
+    again = again.union(found.where("at_hot is not null").select(F.col("base").alias("id"), F.explode("at_hot").alias("at"), F.lit(True).alias("hot")))
     again = again.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("hot").alias("hot"))
     copies = work.write(info.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("doc_id", "id").alias("doc_id")), "copies")
     needed = work.write(copies.join(again, "id").select("id", "sha", "doc_id", "at", "hot"), "needed")

@@ -57,6 +57,73 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+#: Bits of an id below the partition's number: documents of a task.
+TASK_BITS = 38
+
+
+def first_id(partition: int) -> int:
+    """The id of a task's first document; those of 2**25 partitions are apart from each other."""
+    return partition << TASK_BITS
+
+
+class Packs:
+    """Numbers that a task's documents have in buckets, packed into a row for each bucket.
+
+    Entries of many blocks are gathered up to ``most``, so that a row holds many of
+    them whatever the number of buckets. A row lists only the documents that have
+    entries in its bucket, as gaps between their numbers and counts.
+    """
+
+    FIELDS = (("bucket", pa.int32()), ("base", pa.int64()), ("kinds", pa.string()), ("gaps", pa.binary()), ("counts", pa.binary()))
+
+    def __init__(self, buckets: int, base: int, most: int = 2_000_000) -> None:
+        self.buckets, self.base, self.most = buckets, base, most
+        self.size, self.held = 0, []
+
+    def add(self, home: np.ndarray, doc: np.ndarray, **numbers: np.ndarray) -> None:
+        """Entries by bucket and document (its number in the task, ascending from one call to the next), with numbers of theirs."""
+        if len(home):
+            self.held.append((home, doc, numbers))
+            self.size += len(home)
+
+    def full(self) -> bool:
+        return self.size >= self.most
+
+    def flush(self) -> dict[str, pa.Array]:
+        """The rows so far, as columns; no rows where there are no entries."""
+        held, self.size, self.held = self.held, 0, []
+        if not held:
+            return {}
+        home, doc = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        numbers = {c: np.concatenate([h[2][c] for h in held]) for c in held[0][2]}
+        order = np.lexsort([doc, home])
+        home, doc = home[order], doc[order]
+        low = int(doc.min())
+        doc = doc - low
+        rows = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        some = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (doc[1:] != doc[:-1])]))
+        gap = np.diff(doc[some], prepend=0)
+        begins = np.isin(some, rows, assume_unique=True)
+        gap[begins] = doc[some[begins]]
+        gap, count = narrow(gap), narrow(np.diff(some, append=len(home)))
+        ends, by_doc = np.append(rows, len(home)), np.append(np.flatnonzero(begins), len(some))
+        packed = lambda x, at: pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((at * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+        out = {"bucket": pa.array(home[rows].astype(np.int32)), "base": pa.array(np.full(len(rows), self.base + low)), "kinds": pa.array([f"{gap.dtype.str} {count.dtype.str}"] * len(rows)), "gaps": packed(gap, by_doc), "counts": packed(count, by_doc)}
+        return out | {c: packed(x[order], ends) for c, x in numbers.items()}
+
+
+def unpacked(row: dict) -> np.ndarray:
+    """The ids of the documents of a row of ``Packs``, one for each entry."""
+    gaps, counts = (np.frombuffer(row[c], kind).astype(np.int64) for c, kind in zip(("gaps", "counts"), row["kinds"].split(), strict=True))
+    return row["base"] + np.repeat(np.cumsum(gaps), counts)
+
+
+def batch_of(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of the given columns, null in the others."""
+    n = len(next(iter(columns.values()), ()))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
