@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cosine, feed_items, page_text, page_title
-from ..operators import as_of_join, build_index, distinct_on, interval_join, nearest_neighbours, qualify, top_per_group
+from ..operators import as_of_join, build_index, distinct_on, inequality_counts, interval_join, nearest_neighbours, overlap_join, qualify, top_per_group
 from ..session import ship
 from ..sources import read, round_trip, write_partitioned
 from ..sources.tables import scratch
@@ -54,6 +54,25 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("event_id", "r_event_id")
 
 
+def poorer_customers(spark: SparkSession, d: str) -> DataFrame:
+    """For each supplier the number of customers whose balance is below its own."""
+    return inequality_counts(read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), read(spark, d, "customer"), [("s_acctbal", ">", "c_acctbal")], "poorer").select("s_suppkey", "poorer")
+
+
+def better_parts(spark: SparkSession, d: str) -> DataFrame:
+    """For each part the number of parts that are at least as large and cheaper."""
+    parts = read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return inequality_counts(parts, parts, [("p_size", "<=", "p_size"), ("p_retailprice", ">", "p_retailprice")], "better").select("p_partkey", "better")
+
+
+def spans_that_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a nation and their open orders' spans: pairs of a building and a machinery customer whose spans from first to last order have a day in common."""
+    orders = read(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first_"), F.max("o_orderdate").alias("last_"))
+    spans = orders.join(read(spark, d, "customer"), "c_custkey").select("c_custkey", "c_nationkey", "c_mktsegment", "first_", "last_")
+    pairs = overlap_join(spans.where("c_mktsegment = 'BUILDING'"), spans.where("c_mktsegment = 'MACHINERY'"), ["c_nationkey"], "first_", "last_")
+    return pairs.select("c_custkey", "r_c_custkey", F.greatest("first_", "r_first_").alias("both_from"))
+
+
 def cross_small(spark: SparkSession, d: str) -> DataFrame:
     """Every customer with every region, a table of fixed size."""
     regions, customers = read(spark, d, "region"), read(spark, d, "customer").select("c_nationkey")
@@ -282,6 +301,15 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "b26_qualify": (qualified, "select event_id, user_id, event_type from events qualify count(*) over (partition by user_id, event_type) >= 15"),
     "b27_distinct_on": (first_orders, "select distinct on (o_custkey) o_custkey, o_orderkey, o_orderdate from orders order by o_custkey, o_orderdate, o_orderkey"),
     "b27_top_per_group": (top_orders, "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3"),
+    "b10_inequality_counts": (poorer_customers, "select s_suppkey, count(c_custkey) as poorer from supplier left join customer on s_acctbal > c_acctbal group by 1"),
+    "b10_two_inequalities": (better_parts, "select a.p_partkey, count(b.p_partkey) as better from part a left join part b on a.p_size <= b.p_size and a.p_retailprice > b.p_retailprice group by 1"),
+    "b11_overlaps": (
+        spans_that_overlap,
+        """with s as (select c_custkey, c_nationkey, c_mktsegment, f, l from customer join (
+             select o_custkey, min(o_orderdate) as f, max(o_orderdate) as l from orders where o_orderstatus = 'O' group by 1) on o_custkey = c_custkey)
+           select a.c_custkey, b.c_custkey as r_c_custkey, greatest(a.f, b.f) as both_from from s a join s b
+           on a.c_nationkey = b.c_nationkey and a.f <= b.l and b.f <= a.l where a.c_mktsegment = 'BUILDING' and b.c_mktsegment = 'MACHINERY'""",
+    ),
     "d02_vector_search": (
         vector_search,
         """select query, neighbour, round(s, 6) as similarity from (
