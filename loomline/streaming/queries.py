@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import read, read_stream
 from ..sources.tables import scratch
+from . import stateful
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
@@ -22,13 +23,15 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
     return emitted(spark, stream, mode, out)
 
 
-def drain(stream: DataFrame, mode: str, out: str, state: str) -> None:
-    """Run a query on the files that its state hasn't seen. A batch that is tried again replaces what it wrote."""
+def drain(stream: DataFrame, mode: str, out: str, state: str) -> list[dict]:
+    """Run a query on the files that its state hasn't seen; what each batch reports. A batch that is tried again replaces what it wrote."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query.recentProgress
 
 
 def emitted(spark: SparkSession, stream: DataFrame, mode: str, out: str) -> DataFrame:
@@ -171,4 +174,5 @@ STREAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         stream_stream,
         "select a.event_id, b.event_id as click_id from events a join events b on a.user_id = b.user_id and a.ts between b.ts and b.ts + interval '1 hour' where a.event_type = 'purchase' and b.event_type = 'click'",
     ),
+    **stateful.queries(decades, run_in_parts),
 }
