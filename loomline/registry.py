@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import oracle, sql
 from .plans.frames import FRAMES
 from .plans.relational import QUERIES as STATEMENTS
+from .plans.stored import STORED
 from .streaming.queries import STREAMS
 
 
@@ -19,10 +20,10 @@ def _statement(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: partial(_statement, text) for name, (text, _) in STATEMENTS.items()},
-    **{name: f for name, (f, _) in {**FRAMES, **STREAMS}.items()},
+    **{name: f for name, (f, _) in {**FRAMES, **STREAMS, **STORED}.items()},
 }
 
 ORACLES: dict[str, str] = {
     **{name: oracle(other or text) for name, (text, other) in STATEMENTS.items()},
-    **{name: text for name, (_, text) in {**FRAMES, **STREAMS}.items() if text},
+    **{name: text for name, (_, text) in {**FRAMES, **STREAMS, **STORED}.items() if text},
 }

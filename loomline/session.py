@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import shutil
 import tempfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -48,4 +50,30 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.sparkContext.setCheckpointDir(folder)
+        remove_at_end(spark, folder)
     return folder.rstrip("/")
+
+
+#: Folders to remove when the driver's Python ends, each with the settings of the file system that it is in.
+_REMOVED: dict[str, object] = {}
+
+
+def remove(path: str, conf) -> None:
+    """Delete a folder, also after the session has been stopped; its Java process lives as long as the driver's Python."""
+    folder = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    if not _REMOVED:
+        atexit.register(remove_all)
+    _REMOVED[path] = spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def remove_all() -> None:
+    """Delete all folders that were to go; one that can't be deleted doesn't keep the others."""
+    while _REMOVED:
+        try:
+            remove(*_REMOVED.popitem())
+        except Exception as error:  # noqa: BLE001
+            print(f"a temporary folder stays: {error}")

@@ -34,11 +34,11 @@ def drain(stream: DataFrame, mode: str, out: str, state: str) -> list[dict]:
     return query.recentProgress
 
 
-def emitted(spark: SparkSession, stream: DataFrame, mode: str, out: str) -> DataFrame:
+def emitted(spark: SparkSession, stream: DataFrame, mode: str, out: str, *more: str) -> DataFrame:
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     if mode == "complete":
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
-    return rows.select(*stream.columns)
+    return rows.select(*stream.columns, *more)
 
 
 def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
