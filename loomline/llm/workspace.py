@@ -6,23 +6,22 @@ table again instead of recomputing what came before it.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder, ship
+from ..session import remove, remove_at_end, shared_folder, ship
 
 
 class Workspace:
-    """One run's tables under the shared folder. What a run doesn't drop goes when the driver's Python ends, as a result may read it until then."""
+    """One run's tables under the shared folder. What a run doesn't drop goes when the driver's Python ends, also where the session was stopped before; a result may read it until then."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
-        atexit.register(self.clear)
+        remove_at_end(spark, self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a Parquet table, read back with its own schema. A name that is used again gets a table of its own."""
@@ -30,19 +29,9 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
     def drop(self, name: str) -> None:
         """Delete the last table of this name, which no later step reads."""
-        self._delete(self.paths.pop(name))
-
-    def clear(self) -> None:
-        """Delete all tables of the run; nothing where the session has ended already."""
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.path)
+        remove(self.paths.pop(name), self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shuffle_width(spark: SparkSession) -> int:
