@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textual import narrow, slices
+from .textual import batch_of, narrow, slices
 from .workspace import Workspace, shuffle_width
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,9 +31,12 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 AWKWARD = re.compile(f" (?:[{WHITE}]|\\Z)")
 STARTS = re.compile(f" (?=[^{WHITE}])")
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("kinds", pa.string()), ("per_doc", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
-BLOCK_DDL = "bucket int, block long, ids array<long>, n_bytes array<long>, words array<string>, kinds string, per_doc binary, word binary, freq binary"
-SUMS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sums", pa.binary())])
+#: Buckets of pre-tokens, at most: a block sends a row to each, whose size would be its head alone with very many.
+BUCKETS = 4_096
+
+MADE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("kinds", pa.string()), ("per_doc", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
+MADE_DDL = "block long, bucket int, words array<string>, ids array<long>, n_bytes array<long>, kinds string, per_doc binary, word binary, freq binary"
+PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.string()), ("pieces", pa.binary())])
 
 
 def load(path: str):
@@ -78,7 +81,7 @@ class Splitter:
 
 
 def _gather(path: str, buckets: int):
-    """Per block of documents: its distinct pre-tokens dealt to buckets, with each document's frequencies of them."""
+    """Per block of documents: a row with each document's frequencies, and its distinct pre-tokens in a row for each bucket."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(path)
@@ -135,75 +138,89 @@ def _pack(part: pa.RecordBatch, splitter: Splitter, number: int, buckets: int) -
     texts = part.column("text")
     strings, doc, word, freq = frequencies(texts.to_pylist(), splitter)
     home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in strings), np.int64, len(strings)) % buckets
-    order = np.argsort(home[word], kind="stable")
-    word, freq, doc = word[order], freq[order], doc[order]
-    ends = np.searchsorted(home[word], np.arange(buckets + 1))
+    # Pre-tokens are numbered by bucket, so that what the buckets return stands in order one behind the other.
     own = np.argsort(home, kind="stable")
-    own_ends = np.searchsorted(home[own], np.arange(buckets + 1))
-    local = np.empty(len(strings), np.uint32)
-    local[own] = np.arange(len(own)) - own_ends[home[own]]
-    table = pa.array(strings, pa.string())
-    lengths = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()).to_pylist()
-    for b in range(buckets):
-        at = slice(ends[b], ends[b + 1])
-        if b and ends[b] == ends[b + 1]:
-            continue
-        head = b == 0  # one row of a block carries its documents
-        parts = [narrow(x) for x in (np.bincount(doc[at], minlength=part.num_rows), local[word[at]], freq[at])]
-        row = {"bucket": b, "block": number, "ids": part.column("doc_id").to_pylist() if head else None, "n_bytes": lengths if head else None}
-        row |= {"words": table.take(pa.array(own[own_ends[b] : own_ends[b + 1]])).to_pylist(), "kinds": " ".join(x.dtype.str for x in parts)}
-        yield pa.RecordBatch.from_pylist([row | dict(zip(("per_doc", "word", "freq"), (x.tobytes() for x in parts), strict=True))], BLOCK)
+    place = np.empty(len(strings), np.int64)
+    place[own] = np.arange(len(own))
+    order = np.lexsort([place[word], doc])
+    doc, word, freq = doc[order], place[word][order], freq[order]
+    first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+    gap = np.where(first, word, np.diff(word, prepend=0))
+    parts = [narrow(x) for x in (np.bincount(doc, minlength=part.num_rows), gap, freq)]
+    lengths = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+    row = {"block": number, "ids": part.column("doc_id").to_pylist(), "n_bytes": lengths.to_pylist(), "kinds": " ".join(x.dtype.str for x in parts)}
+    yield pa.RecordBatch.from_pylist([row | dict(zip(("per_doc", "word", "freq"), (x.tobytes() for x in parts), strict=True))], MADE)
+    if len(strings):
+        starts = np.flatnonzero(np.concatenate([[True], home[own][1:] != home[own][:-1]]))
+        table = pa.array(strings, pa.string()).take(pa.array(own))
+        words = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)).astype(np.int32)), table)
+        yield batch_of(MADE, {"block": pa.array(np.full(len(starts), number)), "bucket": pa.array(home[own][starts].astype(np.int32)), "words": words})
 
 
 def _count(path: str):
-    """Pieces of each distinct pre-token of a bucket, counted when it is first met, joined to the frequencies and summed by document."""
+    """Pieces of each distinct pre-token of a bucket, counted when it is first met, in the order of the block that asks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         pieces: dict[str, int] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            blocks, buckets, lists = batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("words")
+            out = []
+            for k in range(batch.num_rows):
+                words = lists[k].as_py()
                 if len(pieces) > REMEMBERED:
                     pieces.clear()
-                new = [w for w in row["words"] if w not in pieces]
+                new = [w for w in words if w not in pieces]
                 for at in range(0, len(new), 5000):
                     some = new[at : at + 5000]
                     pieces.update(zip(some, (len(e) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-                each = np.fromiter(map(pieces.__getitem__, row["words"]), np.int64, len(row["words"]))
-                per_doc, word, freq = (np.frombuffer(row[c], kind) for c, kind in zip(("per_doc", "word", "freq"), row["kinds"].split(), strict=True))
-                tokens = each[word] * freq
-                sums = np.bincount(np.repeat(np.arange(len(per_doc)), per_doc), tokens, len(per_doc)).astype(np.int64)
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "ids": row["ids"], "n_bytes": row["n_bytes"], "sums": sums.tobytes()}], SUMS)
+                each = narrow(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)))
+                out.append((blocks[k], buckets[k], each.dtype.str, each.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 
     return count
 
 
-def _total(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    total = sum(np.frombuffer(r["sums"], np.int64) for r in rows)
-    head = next(r for r in rows if r["ids"] is not None)
-    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "n_bytes": pa.array(head["n_bytes"], pa.int64()), "n_tokens": pa.array(total, pa.int64())})
+def _sum(made: pa.Table, counted: pa.Table) -> pa.Table:
+    """Tokens of a block's documents: frequencies times pieces, added up by document."""
+    out = []
+    for row in made.to_pylist():
+        rows = sorted(zip(*(counted.column(c).to_pylist() for c in ("bucket", "kind", "pieces")), strict=True))
+        each = np.concatenate([*(np.frombuffer(p, kind).astype(np.int64) for _, kind, p in rows), np.zeros(0, np.int64)])
+        per_doc, gap, freq = (np.frombuffer(row[c], kind).astype(np.int64) for c, kind in zip(("per_doc", "word", "freq"), row["kinds"].split(), strict=True))
+        ends = np.cumsum(per_doc)
+        total = np.cumsum(gap)
+        before = np.where(ends > per_doc, total[np.maximum(ends - per_doc - 1, 0)], 0) if len(gap) else np.zeros(len(per_doc), np.int64)
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        tokens = np.concatenate([[0], np.cumsum(each[total - before[doc]] * freq)])
+        out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": pa.array(tokens[ends] - tokens[ends - per_doc])}))
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "n_bytes", "n_tokens")})
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens), one row per row of ``docs`` (doc_id, text), as the library counts tokens.
 
     Documents are read in blocks of bounded size. A block's distinct pre-tokens go
-    to the buckets of their hash, one for each shuffle partition, each with its
-    frequencies in the block's documents as packed arrays; a bucket counts the
-    pieces of a pre-token once for all blocks. So a common word costs one entry per
-    block, never a hot key. A bucket remembers REMEMBERED pre-tokens at most, and
-    counts anew what it meets after more.
+    to the buckets of their hash, one for each shuffle partition and BUCKETS at
+    most; a bucket counts the pieces of a pre-token once for all blocks and sends
+    the numbers back, where the block's frequencies are added up with them. So a
+    common word costs one entry per block, never a hot key, and what is sent doesn't
+    grow with the number of buckets but for the heads of rows. A bucket remembers
+    REMEMBERED pre-tokens at most, and counts anew what it meets after more.
 
     Null text counts as empty: no bytes, no tokens. Repeated and null doc_ids keep
     a row each. An empty table gives an empty result; other columns are ignored.
     """
-    width = shuffle_width(docs.sparkSession)
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(vocabulary, width), BLOCK_DDL)
-    sums = packed.repartitionById(width, F.col("bucket")).mapInArrow(_count(vocabulary), "block long, ids array<long>, n_bytes array<long>, sums binary")
-    return sums.groupBy("block").applyInArrow(_total, "doc_id long, n_bytes long, n_tokens long")
+    buckets = min(BUCKETS, shuffle_width(docs.sparkSession))
+    work = work or Workspace(docs.sparkSession, "tokens")
+    made = work.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_gather(vocabulary, buckets), MADE_DDL), "blocks")
+    words = made.where("words is not null").select("block", "bucket", "words")
+    counted = words.repartitionById(buckets, F.col("bucket")).mapInArrow(_count(vocabulary), "block long, bucket int, kind string, pieces binary")
+    held = made.where("ids is not null").select("block", "ids", "n_bytes", "kinds", "per_doc", "word", "freq")
+    return held.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
 
 
 def over_limit(docs: DataFrame, work: Workspace, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """``token_counts`` with a flag for documents of more than ``limit`` tokens."""
-    return token_counts(docs, vocabulary).withColumn("over_limit", F.col("n_tokens") > limit)
+    return token_counts(docs, vocabulary, work).withColumn("over_limit", F.col("n_tokens") > limit)
