@@ -11,13 +11,12 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textual import slices
 from .token_counts import BLOCK_BYTES, load
-from .workspace import Workspace
+from .workspace import Workspace, shuffle_width
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
@@ -161,14 +160,20 @@ class Packer:
 
 
 def _place(window: int, most: int):
+    """Packs stream after stream of a task; each has bins of its own."""
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = Packer(window, most)
-        base = TaskContext.get().partitionId() << 40
+        packer, stream = Packer(window, most), None
         for pdf in batches:
-            places = [packer.place(n) for n in pdf["length"].tolist()]
+            places = []
+            for s, n in zip(pdf["_stream"].tolist(), pdf["length"].tolist(), strict=True):
+                if s != stream:
+                    packer, stream = Packer(window, most), s
+                bin_, offset = packer.place(n)
+                places.append(((s << 28) + bin_, offset))
             out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
             out["doc_id"] = pdf["doc_id"].astype("Int64")
-            yield out.assign(sequence_id=[base + b for b, _ in places], offset=[o for _, o in places])
+            yield out.assign(sequence_id=[b for b, _ in places], offset=[o for _, o in places])
 
     return place
 
@@ -176,13 +181,16 @@ def _place(window: int, most: int):
 def pack(cut: DataFrame, window: int = WINDOW, most: int = OPEN_BINS) -> DataFrame:
     """Pieces with their sequence_id and offset.
 
-    Pieces are dealt by hash into streams of some 50,000, which are packed side by
-    side in hash order; each stream may leave its last open bins part empty, at
-    most ``most`` of them.
+    Pieces are dealt by hash into streams of some STREAM, which are packed in hash
+    order, many streams to a task where there are more of them than shuffle
+    partitions; each stream may leave its last open bins part empty, at most
+    ``most`` of them.
     """
     streams = max(1, -(-cut.count() // STREAM))
-    dealt = cut.withColumn("_key", F.xxhash64("doc_id", "piece", "ids_crc32", "start"))
-    dealt = dealt.repartition(streams, "_key").sortWithinPartitions("_key", "doc_id", "piece", "length")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
+    dealt = cut.withColumns({"_key": key, "_stream": F.pmod(F.xxhash64(key), F.lit(streams))})
+    tasks = min(streams, shuffle_width(cut.sparkSession))
+    dealt = dealt.repartitionById(tasks, (F.col("_stream") % tasks).cast("int")).sortWithinPartitions("_stream", "_key", "doc_id", "piece", "length")
     return dealt.mapInPandas(_place(window, most), PIECES + ", sequence_id long, offset long")
 
 

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -271,15 +273,24 @@ def test_token_counts_of_long_texts_in_small_blocks(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["doc_id", "text"])
     sums = np.zeros(4, np.int64)
     for k, part in enumerate(slices(batch, 1000)):
-        rows = [r for b in token_counts._pack(part, splitter, k, 3) for r in b.to_pylist()]
-        counted = token_counts._count(token_counts.VOCABULARY)(iter([pa.RecordBatch.from_pylist(rows, token_counts.BLOCK)]))
+        made = pa.Table.from_batches(list(token_counts._pack(part, splitter, k, 3)))
+        words = made.filter(pc.is_valid(made.column("words"))).combine_chunks()
+        counted = pa.Table.from_batches(list(token_counts._count(token_counts.VOCABULARY)(iter(words.to_batches()))), token_counts.PIECES)
         at = batch.column("doc_id").to_pylist().index(part.column("doc_id")[0].as_py())
-        for b in counted:
-            for r in b.to_pylist():
-                sums[at : at + part.num_rows] += np.frombuffer(r["sums"], np.int64)
+        sums[at : at + part.num_rows] += token_counts._sum(made.filter(pc.is_valid(made.column("ids"))), counted).column("n_tokens").to_numpy()
     assert sums.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("buckets", [4, 400])
+def test_what_a_block_sends_hardly_grows_with_the_buckets(sf_dir, buckets):
+    """A block's bytes for very many buckets, with the heads of Spark's rows, are at most twice those for one."""
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = pa.Table.from_batches(list(token_counts._pack(batch, token_counts.Splitter(token_counts.VOCABULARY), 0, buckets)))
+    few = pa.Table.from_batches(list(token_counts._pack(batch, token_counts.Splitter(token_counts.VOCABULARY), 0, 1)))
+    assert made.nbytes + 48 * made.num_rows < 2 * few.nbytes
+
+
 def test_words_encode_alone():
     library = Tokenizer.from_file(packing.VOCABULARY)
     words = packing.Words(packing.VOCABULARY)
@@ -312,6 +323,23 @@ def test_packing(docs, rows, work):
     assert packing.packed(docs.limit(0), work).count() == 0
 
 
+def test_streams_of_one_task_have_bins_of_their_own(spark, monkeypatch):
+    """Many more streams than tasks: each piece once, bins gapless, no bin in two streams."""
+    monkeypatch.setattr(packing, "STREAM", 10)
+    cut = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") * 37 % 60 + 1).alias("length"), F.col("id").alias("ids_crc32"))
+    got = packing.pack(cut, 64, 4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(500)) and len({r.sequence_id >> 28 for r in got}) > 40
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_packing_needs_few_sequences(spark, monkeypatch):
     """Pieces of many lengths, in one stream and in several: few sequences above the lower bound, and none overfull."""
     draw = random.Random(3)
