@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +13,7 @@ from loomline.functions import cosine, feed_items
 from loomline.functions.html import text_of
 from loomline.operators import as_of_join, distinct_on, interval_join, unpivot
 from loomline.registry import QUERIES
+from loomline.sources import read
 from loomline.sources.tables import scratch
 from loomline.streaming.queries import drain, emitted
 
@@ -95,6 +98,20 @@ def test_page_text():
     assert text_of("") == "" and text_of(None) is None
 
 
+def test_page_texts_against_an_independent_reading(spark, sf_dir):
+    """All pages: no script or style text, all words outside them in order, those with marks within them in one piece."""
+
+    def words(page):
+        for pattern, by in ((r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</?(b|i|a|em|strong|span)\b[^>]*>", ""), (r"<[^>]*>", " ")):
+            page = re.sub(pattern, by, page)
+        return html.unescape(page).split()
+
+    pages = {r.page_id: r.html for r in read(spark, sf_dir, "pages").collect()}
+    got = {r.page_id: r.text for r in QUERIES["b54_page_text"](spark, sf_dir).collect()}
+    assert got.keys() == pages.keys() and len(got) >= 50
+    assert all(got[k].split() == words(p) for k, p in pages.items())
+
+
 @pytest.mark.parametrize(("x", "y", "want"), [("", "", 0), ("", "abc", 3), ("abc", "", 3), ("ab", "ba", 1), ("ca", "abc", 2), ("kitten", "sitting", 3), ("aa", "aa", 0)])
 def test_edits_with_swaps(x, y, want):
     from loomline.plans.frames import edits
