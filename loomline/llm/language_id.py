@@ -23,6 +23,8 @@ BLOCK = 3_000_000
 #: Languages that are counted, or scored in blocks of full size, at once.
 SOME = 16
 UNKNOWN = "und"
+#: Words of a long text that are labelled one after the other.
+STRETCH = 1_000
 
 # First and last code points of scripts, by Unicode block; what none holds counts as one more script.
 SCRIPTS = (
@@ -154,34 +156,89 @@ def steady(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: fl
     return best, firm
 
 
-def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word of the documents [start, end), all documents side by side, longest first."""
+def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """The best language of each word of the documents [start, end), all documents side by side, longest first.
+
+    ``enter`` is the language before each document's first word, ``leave`` that of its last one, where they are known.
+    """
+    order, active, value, trace = _forward(scores, starts, ends, penalty, enter, True)
+    stay, came = trace
+    starts = starts[order]
+    path = np.zeros(len(scores), np.int16)
+    last = np.zeros(len(starts), np.int16)
+    for t in range(len(active) - 1, -1, -1):
+        live = active[t]
+        fresh = slice(active[t + 1] if t + 1 < len(active) else 0, live)
+        last[fresh] = value[fresh].argmax(1) if leave is None else leave[order[fresh]]
+        at = starts[:live] + t
+        path[at] = last[:live]
+        if t:
+            last[:live] = np.where(stay[at, last[:live]], last[:live], came[at])
+    return path
+
+
+def _forward(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float, enter: np.ndarray | None, traced: bool) -> tuple:
+    """The order of the documents, how many are as long as each step, the best value by last language, and how it came about."""
     order = np.argsort(starts - ends, kind="stable")
     starts, size = starts[order], (ends - starts)[order]
     n = scores.shape[1]
-    stay, came = np.zeros((len(scores), n), bool), np.zeros(len(scores), np.int16)
-    path = np.zeros(len(scores), np.int16)
+    stay, came = (np.zeros((len(scores), n), bool), np.zeros(len(scores), np.int16)) if traced else (None, None)
     value = np.zeros((len(starts), n))
+    if enter is not None:
+        value[:] = -np.inf
+        value[np.arange(len(starts)), enter[order]] = 0
     active = np.searchsorted(-size, -np.arange(1, (size.max() if len(size) else 0) + 1), "right")
     for t, live in enumerate(active):
         at = starts[:live] + t
         v = value[:live]
-        if t:
+        if t or enter is not None:
             top = v.argmax(1)
             switch = v[np.arange(live), top] - penalty
             keep = v >= switch[:, None]
-            stay[at], came[at] = keep, top
+            if traced:
+                stay[at], came[at] = keep, top
             v = np.where(keep, v, switch[:, None])
         value[:live] = v + scores[at]
-    last = np.zeros(len(starts), np.int16)
-    for t in range(len(active) - 1, -1, -1):
-        live = active[t]
-        fresh = slice(active[t + 1] if t + 1 < len(active) else 0, live)
-        last[fresh] = value[fresh].argmax(1)
-        at = starts[:live] + t
-        path[at] = last[:live]
-        if t:
-            last[:live] = np.where(stay[at, last[:live]], last[:live], came[at])
+    return order, active, value, (stay, came)
+
+
+def long_path(scores: np.ndarray, penalty: float, stretch: int = STRETCH) -> np.ndarray:
+    """``viterbi`` of one long document, by stretches side by side.
+
+    What a stretch is worth is worked out for each pair of a language before it and
+    a last one; these are put together from stretch to stretch, which fixes the
+    language at each border, and then the words of all stretches are labelled.
+    """
+    n = scores.shape[1]
+    starts = np.arange(0, len(scores), stretch)
+    ends = np.minimum(starts + stretch, len(scores))
+    order, _, value, _ = _forward(scores, np.repeat(starts, n), np.repeat(ends, n), penalty, np.tile(np.arange(n), len(starts)), False)
+    worth = np.empty_like(value)
+    worth[order] = value
+    worth = worth.reshape(len(starts), n, n)  # by stretch, language before, last language
+    total, before = np.zeros(n), np.zeros((len(starts), n), np.int64)
+    for k in range(len(starts)):
+        # The language before the first word is free: entering by the first word's own costs nothing.
+        both = total[:, None] + worth[k]
+        before[k] = both.argmax(0)
+        total = both.max(0)
+    leave = np.zeros(len(starts), np.int64)
+    leave[-1] = total.argmax()
+    for k in range(len(starts) - 1, 0, -1):
+        leave[k - 1] = before[k, leave[k]]
+    enter = np.concatenate([[before[0, leave[0]]], leave[:-1]])
+    return viterbi(scores, starts, ends, penalty, enter, leave)
+
+
+def paths(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
+    """``viterbi``, long documents one by one in stretches, so that no text takes a step for each word by itself."""
+    long_ = ends - starts > 2 * STRETCH
+    path = np.zeros(len(scores), np.int16)
+    if not long_.all():
+        short = viterbi(scores, starts[~long_], ends[~long_], penalty)
+        path[:] = short
+    for s, e in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True):
+        path[s:e] = long_path(scores[s:e], penalty)
     return path
 
 
@@ -231,7 +288,7 @@ def label(texts: list[str | None], model: Model, penalty: float) -> tuple[Block,
         if len(loose):
             rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in loose])
             to = np.cumsum(np.diff(bounds)[loose])
-            found[rows] = viterbi(scores[rows], to - np.diff(bounds)[loose], to, penalty)
+            found[rows] = paths(scores[rows], to - np.diff(bounds)[loose], to, penalty)
         path[at] = langs[found]
     return block, (starts, ends, doc), path
 

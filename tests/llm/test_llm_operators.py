@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -207,6 +208,35 @@ def test_labelled_paths_are_the_best_ones():
     assert 1000 < firm_ones < 10_000
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 7, 50, 1000])
+def test_long_texts_in_stretches_have_the_best_path(stretch):
+    """Stretches of one word, of the whole text and between, with and without drift, one language too."""
+    draw = np.random.default_rng(stretch)
+    for n in (1, 2, 5):
+        for size in (1, 2, 49, 50, 300):
+            scores = draw.normal(scale=3, size=(size, n)) + np.repeat(draw.normal(scale=2, size=(-(-size // 20), n)), 20, 0)[:size]
+            path = language_id.long_path(scores, 6.0, stretch)
+            assert worth(scores, path, 6.0) == pytest.approx(best_worth(scores, 6.0))
+            assert path.tolist() == language_id.viterbi(scores, np.array([0]), np.array([size]), 6.0).tolist()
+
+
+def test_long_and_short_texts_together(monkeypatch):
+    monkeypatch.setattr(language_id, "STRETCH", 30)
+    draw = np.random.default_rng(3)
+    sizes = np.array([5, 200, 1, 61, 60, 0, 90])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    scores = draw.normal(scale=3, size=(bounds[-1], 3))
+    assert language_id.paths(scores, bounds[:-1], bounds[1:], 5.0).tolist() == language_id.viterbi(scores, bounds[:-1], bounds[1:], 5.0).tolist()
+
+
+def test_a_very_long_mixed_text_takes_seconds():
+    draw = np.random.default_rng(5)
+    scores = draw.normal(scale=3, size=(400_000, 4)).astype(np.float32)
+    start = time.process_time()
+    language_id.paths(scores, np.array([0]), np.array([400_000]), 12.0)
+    assert time.process_time() - start < 5  # word by word: 15 s and more
+
+
 def test_steady_heeds_switches_among_other_languages():
     """Language 0 scores nothing throughout, 1 gains and then loses, 2 the other way round: two stretches of others, one switch between them."""
     scores = np.zeros((20, 3))
