@@ -190,6 +190,6 @@ def queries(decades: Callable, run_in_parts: Callable) -> dict[str, tuple[Callab
             """with e as (select * from events where not (event_id % 10 = 1 and event_type = 'click' and day(ts) <= 8)),
                j as (select a.event_id, a.ts, b.event_id as click_id from (select * from events where event_type = 'purchase') a
                  left join (select * from e where event_type = 'click') b on a.user_id = b.user_id and a.ts between b.ts and b.ts + interval '1 hour')
-               select event_id, click_id from j where click_id is not null or ts < (select least(max(ts) filter (event_type = 'click'), max(ts) filter (event_type = 'purchase')) - interval '1 day' from events)""",
+               select event_id, click_id from j where click_id is not null or ts < (select max(ts) - interval '1 day' from events)""",
         ),
     }
