@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ REMEMBERED_PARTS = 500_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 NOT_WHITE = re.compile("[\x1c-\x1f]")
 
+# The vocabulary writes each byte as a character, visible ones of Latin-1 as themselves, the others as the characters from 256 on.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*VISIBLE}))}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,6 +45,7 @@ class Words(dict):
         self.tokenizer = load(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.parts: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,7 +68,8 @@ class Words(dict):
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = self.encode(part)
+            # A part has no upper case and nothing to compose, so the merges alone give its ids.
+            ids = self.parts[part] = array("I", [t.id for t in self.merge(part.encode().decode("latin-1").translate(SHOWN))]).tobytes()
         return ids
 
     def document(self, text: str) -> bytes:
