@@ -33,22 +33,24 @@ def cover(first: Column, last: Column, levels: int) -> Column:
 
 
 def starts_within(starts: DataFrame, spans: DataFrame, by: list[str], width: int, origin: int, levels: int, strict: bool, most: int) -> DataFrame:
-    """(point, span): rows of ``starts`` (by, id, at) and ``spans`` (by, id, low, high) with low <= at <= high; low < at where ``strict``.
+    """(point, span): the rows of ``starts`` (by, id, at, row) and ``spans`` (by, low, high, row) with low <= at <= high; low < at where ``strict``.
 
     A point stands in a bin of each level, a span in the bins that make it up, so
     they meet in one bin at most. Spans look in bins that hold points alone; a bin
     with more than ``most`` points is dealt to several tasks, and a span that covers
-    it goes to all of these.
+    it goes to all of these. Both bring their rows, so that pairs, of which there may
+    be as many as the square of the rows, are made where they are used and never
+    move; of a bin, a task holds its points.
     """
     bin_ = lambda c: F.floor((c - origin) / width)
     keys = [*by, "level", "bin"]
     points = starts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("bin", F.call_function("shiftright", bin_(F.col("at")), F.col("level")))
     sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    pieces = spans.where("low <= high").withColumn("piece", F.explode(cover(bin_(F.col("low")), bin_(F.col("high")), levels))).select(*by, F.col("id").alias("span"), "low", "high", "piece.level", "piece.bin")
+    pieces = spans.where("low <= high").withColumn("piece", F.explode(cover(bin_(F.col("low")), bin_(F.col("high")), levels))).select(*by, F.col("row").alias("span"), "low", "high", "piece.level", "piece.bin")
     pieces = pieces.join(sizes, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     points = points.join(sizes.where("parts > 1"), keys, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
     after = F.col("at") > F.col("low") if strict else F.col("at") >= F.col("low")
-    return points.join(pieces, [*keys, "part"]).where(after & (F.col("at") <= F.col("high"))).select(F.col("id").alias("point"), "span")
+    return pieces.join(points.hint("merge"), [*keys, "part"]).where(after & (F.col("at") <= F.col("high"))).select(F.col("row").alias("point"), "span")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, prefix: str = "r_", most: int = BIN) -> DataFrame:
@@ -78,9 +80,8 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], start: str, e
     origin, last, n = ends[0] or 0, ends[1] or 0, ends[2]
     width = max(1, (last - origin + 1) * most // max(1, n))
     levels = ((last - origin) // width).bit_length() + 1
-    point = lambda df: df.select(*keys, "id", F.col("low").alias("at"))
-    span = lambda df: df.select(*keys, "id", "low", "high")
-    found = starts_within(point(b), span(a), keys, width, origin, levels, False, most).select(F.col("span").alias("a"), F.col("point").alias("b"))
-    found = found.union(starts_within(point(a), span(b), keys, width, origin, levels, True, most).select(F.col("point").alias("a"), F.col("span").alias("b")))
-    rows = found.join(a.select(F.col("id").alias("a"), F.col("row").alias("_left")), "a").join(b.select(F.col("id").alias("b"), F.col("row").alias("_right")), "b")
-    return rows.select("_left.*", *[F.col(f"_right.`{c}`").alias(f"{prefix}{c}") for c in right.columns])
+    point = lambda df: df.select(*keys, "id", "row", F.col("low").alias("at"))
+    span = lambda df: df.select(*keys, "row", "low", "high")
+    found = starts_within(point(b), span(a), keys, width, origin, levels, False, most).select(F.col("span").alias("_left"), F.col("point").alias("_right"))
+    found = found.union(starts_within(point(a), span(b), keys, width, origin, levels, True, most).select(F.col("point").alias("_left"), F.col("span").alias("_right")))
+    return found.select("_left.*", *[F.col(f"_right.`{c}`").alias(f"{prefix}{c}") for c in right.columns])

@@ -115,6 +115,14 @@ def test_overlaps(spark, most):
     assert Counter((r.id, r.r_id) for r in got.collect()) == want
 
 
+def test_pairs_of_overlaps_do_not_move(spark, capsys):
+    """There may be as many as the square of the rows."""
+    some = spark.createDataFrame(spans(3, 20), SPANS)
+    overlap_join(some, some, ["k"], "start_", "end_", most=3).explain()
+    above = capsys.readouterr().out.split("Union")[0]
+    assert "Plan" in above and "Exchange" not in above and "Join" not in above
+
+
 def test_overlaps_without_keys_or_rows(spark):
     some, none = spark.createDataFrame(spans(3, 20), SPANS), spark.createDataFrame([], SPANS)
     assert overlap_join(some, none, ["k"], "start_", "end_").count() == 0 and overlap_join(none, none, ["k"], "start_", "end_").count() == 0
