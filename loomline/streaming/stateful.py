@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,35 +40,40 @@ def state_store(spark: SparkSession, empty_batches: bool = True) -> Iterator[Non
 
 
 class Silent(StatefulProcessor):
-    """Counts each user's events by type, and tells of them once the watermark is ``after`` milliseconds past the last one; the state is then dropped."""
+    """Counts each user's events by type, and tells of them once the watermark is ``after`` milliseconds past the last one; the state is then dropped.
+
+    Each call to the state store is a round trip to it, so a user's state is one
+    value, read and written once a batch, and its timer is known from that.
+    """
 
     def __init__(self, after: int = SILENT_MS) -> None:
         self.after = after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.types = handle.getMapState("types", "event_type string", "n long")
-        self.last = handle.getValueState("last", "micros long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        last = self.last.get()
-        newest = -1 if last is None else last[0]
-        for pdf in rows:  # a batch of rows at a time, so that a busy user costs no more than that
-            newest = max(newest, int(pdf["micros"].max()))
-            for kind, n in pdf["event_type"].value_counts().items():
-                held = self.types.getValue((kind,)) if self.types.containsKey((kind,)) else (0,)
-                self.types.updateValue((kind,), (int(held[0]) + int(n),))
-        self.last.update((newest,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest // 1000 + self.after)
+        self.seen = handle.getValueState("seen", "last long, n long, types map<string, long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        held = self.seen.get()
+        last, n, types = (None, 0, {}) if held is None else (held[0], held[1], dict(held[2]))
+        newest = last
+        for _, kind, micros, _ in rows:
+            n += 1
+            if kind is not None:
+                types[kind] = types.get(kind, 0) + 1
+            if micros is not None and (newest is None or micros > newest):
+                newest = micros
+        self.seen.update((newest, n, types))
+        if newest != last:
+            if last is not None:
+                self.handle.deleteTimer(last // 1000 + self.after)
+            self.handle.registerTimer(newest // 1000 + self.after)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        counts = {kind: n for (kind,), (n,) in self.types.iterator()}
-        yield pd.DataFrame({"user_id": [key[0]], "micros": [self.last.get()[0]], "n": [sum(counts.values())], "kinds": [len(counts)], "clicks": [counts.get("click", 0)]})
-        self.types.clear()
-        self.last.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        last, n, types = self.seen.get()
+        self.seen.clear()
+        yield Row(user_id=key[0], micros=last, n=n, kinds=len(types), clicks=types.get("click", 0))
 
     def close(self) -> None:
         pass
@@ -76,8 +81,8 @@ class Silent(StatefulProcessor):
 
 def silences(stream: DataFrame, after: int = SILENT_MS) -> DataFrame:
     """(user_id, micros, n, kinds, clicks) of users that have fallen silent, of a stream with user_id, event_type and a watermark on ts."""
-    rows = stream.withColumn("micros", F.unix_micros("ts"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Silent(after), "user_id long, micros long, n long, kinds long, clicks long", "append", "eventTime")
+    rows = stream.select("user_id", "event_type", F.unix_micros("ts").alias("micros"), "ts")
+    return rows.groupBy("user_id").transformWithState(Silent(after), "user_id long, micros long, n long, kinds long, clicks long", "append", "eventTime")
 
 
 class News(StatefulProcessor):

@@ -59,6 +59,50 @@ def test_silent_users_are_told_and_forgotten(spark):
     assert held(first) > held(third) and held(second) < held(first)
 
 
+class Store:
+    """A state store of one value for each user, and of timers; counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802, ARG002
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_user_costs_few_calls_to_the_state_store():
+    """Whatever the number of types; rows without a type or a time count, and move no timer."""
+    store, silent = Store(), stateful.Silent(1_000)
+    silent.init(store)
+    rows = [(7, kind, 5_000_000 + i, None) for i, kind in enumerate(["click", "view", "buy", "click", None, "sell", "ask"])]
+    assert list(silent.handleInputRows((7,), iter(rows), None)) == [] and store.calls == 3 and store.timers == [6_000]
+    list(silent.handleInputRows((7,), iter([(7, "click", 9_000_000, None), (7, "view", 4_000_000, None)]), None))
+    assert store.calls == 7 and store.timers == [10_000]
+    list(silent.handleInputRows((7,), iter([(7, "view", None, None)]), None))
+    assert store.calls == 9 and store.timers == [10_000]
+    assert [r.asDict() for r in silent.handleExpiredTimer((7,), None, None)] == [{"user_id": 7, "micros": 9_000_000, "n": 10, "kinds": 5, "clicks": 3}]
+    assert store.value is None
+
+
 def test_known_types_expire(spark):
     with stateful.state_store(spark, empty_batches=False):
         kept = Arriving(spark, lambda s: stateful.news(s, 3_600_000))
