@@ -93,7 +93,7 @@ def upsert(path: str, schema: StructType, changes: DataFrame, key: list[str], by
     return spark.read.schema(schema).parquet(path)
 
 
-def objects(reader, path: str, glob: str = "*.txt") -> DataFrame:
+def objects(reader, path: str, glob: str = "*.txt", folders: str = "page_id long") -> DataFrame:
     """Files as they are (path, modificationTime, length, content, and the folders' columns). Filters on length and time are applied before a file is opened."""
-    schema = "path string, modificationTime timestamp, length long, content binary, page_id long"
+    schema = "path string, modificationTime timestamp, length long, content binary" + (folders and f", {folders}")
     return reader.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)

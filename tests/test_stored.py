@@ -69,6 +69,27 @@ def test_objects_are_left_out_before_they_are_opened(spark, capsys):
     assert {(r.page_id, r.length) for r in some.collect()} == {(k, 10 * k + 1) for k in range(4, 9)}
 
 
+def test_pages_share_objects_and_come_back_whole(spark):
+    """Line ends, quotes, marks and missing texts; fewer objects than pages."""
+    rows = [(k, t * k) for k, t in enumerate(["", "a\n\r\n", '"\\', "\u00e9\u2028\u0000", "\U0001f600", " x "])] + [(9, None)] + [(k, "page" * 9) for k in range(10, 300)]
+    for most, files_ in ((400, range(9, 40)), (5_000, range(1, 10))):
+        path = scratch(spark, "objects")
+        stored.put_pages(spark.createDataFrame(rows, "page_id long, html string"), path, most)
+        made = objects(spark.read, path, folders="")
+        assert made.count() in files_
+        assert sorted(map(tuple, stored.pages_of(made).collect())) == rows
+
+
+def test_pages_near_the_limit_of_length(spark, tmp_path, duck):
+    """Pages of 1,999 and 2,000 bytes, in letters of one and two bytes, both halves."""
+    rows = [(k, letter * n) for k, (letter, n) in enumerate([("a", 1999), ("a", 1999), ("a", 2000), ("a", 2000), ("\u00e9", 999), ("\u00e9", 1000), ("b", 9000), ("\n", 2000)])]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sql = stored.STORED["d06_page_objects"][1].replace("from pages", f"from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for most in (4_000, stored.OBJECT):
+        got = stored.page_objects(spark, str(tmp_path), most).select("page_id", "length", "digest", "batch")
+        assert sorted(map(tuple, got.collect())) == sorted(duck.execute(sql).fetchall())
+
+
 def test_a_stopped_backlog_goes_on(spark, sf_dir):
     got = stored.backlog(spark, sf_dir, files=5, stop_after=3).collect()
     assert {r.batches for r in got} <= set(range(1, 6)) and max(r.batches for r in got) == 5
