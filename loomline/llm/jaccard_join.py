@@ -195,6 +195,8 @@ def _sketch(held, buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE)
                 return
             key, doc = (np.concatenate(c) for c in zip(*entries, strict=True))
             entries.clear()
+            if not len(key):  # no document of the pack has words and an id
+                return
             order = np.lexsort([doc, key])
             key, doc = key[order], doc[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
