@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -94,15 +93,17 @@ class News(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "event_type string", "event_id long", ttlDurationMs=self.known)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        first: dict[str, int] = {}
-        for pdf in rows:
-            for kind, event in pdf.groupby("event_type")["event_id"].min().items():
-                first[kind] = min(int(event), first.get(kind, int(event)))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803, ANN001
+        first: dict[str | None, int | None] = {}
+        for _, kind, event in rows:
+            held = first.setdefault(kind, event)
+            if held is None or event is not None and event < held:
+                first[kind] = event
+        known = {kind for (kind,) in self.seen.keys()}  # all at once, as each call is a round trip
         for kind, event in first.items():
-            if not self.seen.containsKey((kind,)):
+            if kind not in known:
                 self.seen.updateValue((kind,), (event,))
-                yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "event_id": [event]})
+                yield Row(user_id=key[0], event_type=kind, event_id=event)
 
     def close(self) -> None:
         pass
@@ -110,7 +111,7 @@ class News(StatefulProcessor):
 
 def news(stream: DataFrame, known: int = KNOWN_MS) -> DataFrame:
     """(user_id, event_type, event_id) of types that are new to a user."""
-    return stream.groupBy("user_id").transformWithStateInPandas(News(known), "user_id long, event_type string, event_id long", "append", "processingTime")
+    return stream.select("user_id", "event_type", "event_id").groupBy("user_id").transformWithState(News(known), "user_id long, event_type string, event_id long", "append", "processingTime")
 
 
 def sessions(stream: DataFrame, gap: str = SESSION) -> DataFrame:
