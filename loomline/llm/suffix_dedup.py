@@ -25,6 +25,10 @@ HOT = 2_000
 ANCHORS = 2_000_000
 STRINGS = 20_000
 BLOCK = 3_000_000
+#: Bytes hashed at once, windows of hot grams of a block told apart at once, and pairs of windows compared at once: what a task holds doesn't grow with the repeats of a block.
+STRETCH = 1_000_000
+WARM = 500_000
+PAIRS = 20_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -47,6 +51,16 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     GRAM bytes with the least hash, so equal windows have equal anchors at equal
     places (winnowing), and windows that follow each other mostly share theirs.
     """
+    out, start = [], 0
+    while start < len(bounds) - 1:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + STRETCH, "right")) - 1)
+        found = _anchors(data[bounds[start] : bounds[end]], bounds[start : end + 1] - bounds[start])
+        out.append((*(x + bounds[start] for x in found[:3]), found[3]))
+        start = end
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(bounds)
     none = np.zeros(0, np.int64)
     if not (sizes >= LENGTH).any():
@@ -70,23 +84,51 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return window[new], window[last], anchor[new], hashes_at(total, anchor[new], GRAM)
 
 
+def prints(data: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window; ``window`` ascends."""
+    low, high = np.zeros(len(window), np.uint64), np.zeros(len(window), np.uint64)
+    edges = np.searchsorted(window, np.arange(0, len(data) + STRETCH, STRETCH)).tolist()
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            part = data[window[a] : window[b - 1] + LENGTH]
+            for out, salt in ((low, 1), (high, 2)):
+                out[a:b] = hashes_at(prefix_sums(part, salt), window[a:b] - window[a], LENGTH)
+    return low, high
+
+
+def alike(data: np.ndarray, window: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each window the number of the first one with its bytes. Those of one print are compared with its first; where a print has different ones, by all their bytes."""
+    order = np.lexsort([high, low])
+    new = np.concatenate([[True], (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])
+    first = np.empty_like(order)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    others = np.flatnonzero(first != np.arange(len(first)))
+    differ = [some[(views[window[some]] != views[window[first[some]]]).any(1)] for some in np.split(others, range(PAIRS, len(others), PAIRS))]
+    parted = np.flatnonzero(np.isin(first, first[np.concatenate(differ)]))
+    seen: dict[tuple[int, bytes], int] = {}
+    for w in parted.tolist():
+        first[w] = seen.setdefault((int(first[w]), views[window[w]].tobytes()), w)
+    return first
+
+
 def block_bytes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
     bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     return np.frombuffer(b"".join(texts), np.uint8), bounds, texts
 
 
-FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("at_hot", pa.list_(pa.int64())), *Packs.FIELDS, ("grams", pa.binary()), ("at", pa.binary())])
-FOUND_DDL = "id long, doc_id long, sha string, n_bytes long, at_hot array<long>, bucket int, base long, kinds string, gaps binary, counts binary, grams binary, at binary"
+FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("gram", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), *Packs.FIELDS, ("grams", pa.binary()), ("at", pa.binary())])
+FOUND_DDL = "id long, doc_id long, sha string, n_bytes long, gram long, ids array<long>, places array<long>, bucket int, base long, kinds string, gaps binary, counts binary, grams binary, at binary"
 
-#: A gram of more occurrences in one pack of a task is hot. One of them goes to its bucket for all, so that no gram of very many occurrences gathers there.
+#: Of a gram of more occurrences in one pack of a task, one goes to its bucket for all, so that no gram of very many occurrences gathers there.
 HOT_HERE = 64
-#: In the place of an occurrence: it stands for all those of a hot gram in a task's pack.
-FOR_ALL = (1 << 32) - 1
+#: Added to a number in the place of an occurrence, which then stands for so many of its gram in a task's pack. Texts are shorter.
+FOR_ALL = 1 << 31
 
 
 def _find(buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE):
-    """A row per document, rows of the places of grams that are hot already, and a row per bucket and pack with its anchors."""
+    """A row per document, a row per gram of many occurrences in a pack with all of them, and a row per bucket and pack with its anchors."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = first_id(TaskContext.get().partitionId())
@@ -98,17 +140,17 @@ def _find(buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE):
                 return
             gram, at, doc = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            _, index, inverse, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-            many = count[inverse] > hot_here
-            stands = np.zeros(len(gram), bool)
-            stands[index[count > hot_here]] = True
-            if many.any():
-                d, a = doc[many], at[many]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)).astype(np.int32)), pa.array(a.astype(np.int64)))
-                yield batch_of(FOUND, {"base": pa.array(base + d[first]), "at_hot": lists})
-            keep = ~many | stands
-            at = np.where(stands, FOR_ALL, at)
+            _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+            keep = count[inverse] <= hot_here
+            if not keep.all():
+                many = np.flatnonzero(~keep)
+                many = many[np.argsort(inverse[many], kind="stable")]
+                first = np.flatnonzero(np.diff(inverse[many], prepend=-1))
+                ends = pa.array(np.append(first, len(many)).astype(np.int32))
+                stands = many[first]
+                yield batch_of(FOUND, {"base": pa.array(base + doc[stands]), "gram": pa.array(gram[stands].view(np.int64)), "ids": pa.ListArray.from_arrays(ends, pa.array(base + doc[many])), "places": pa.ListArray.from_arrays(ends, pa.array(at[many]))})
+                keep[stands] = True
+                at[stands] = FOR_ALL + count[inverse[stands]]
             gram, at, doc = gram[keep], at[keep].astype(np.uint32), doc[keep]
             packs.add(((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), doc, grams=gram, at=at)
             yield batch_of(FOUND, packs.flush())
@@ -135,7 +177,7 @@ def _find(buckets: int, most: int = 2_000_000, hot_here: int = HOT_HERE):
 
 
 def _repeated(hot: int):
-    """(id, at, hot) of the anchors whose gram occurs more than once; of those that are hot in their pack, these are known before."""
+    """(id, at, hot) of the anchors whose gram occurs more than once; (id, gram, hot) of those that stand for all of their gram in a pack."""
 
     def repeated(table: pa.Table) -> pa.Table:
         grams, ids, at = [], [], []
@@ -143,13 +185,13 @@ def _repeated(hot: int):
             grams.append(np.frombuffer(row["grams"], np.uint64))
             at.append(np.frombuffer(row["at"], np.uint32))
             ids.append(unpacked(row))
-        gram, id_, place = np.concatenate(grams), np.concatenate(ids), np.concatenate(at)
-        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-        stands = place == FOR_ALL
-        count = count + np.bincount(inverse, stands) * (hot + 1)
-        count = count[inverse]
-        keep = (count > 1) & ~stands
-        return pa.table({"id": id_[keep], "at": place[keep].astype(np.int64), "hot": count[keep] > hot})
+        gram, id_, place = np.concatenate(grams), np.concatenate(ids), np.concatenate(at).astype(np.int64)
+        _, inverse = np.unique(gram, return_inverse=True)
+        stands = place > FOR_ALL
+        count = np.bincount(inverse, np.where(stands, place - FOR_ALL, 1))[inverse]
+        keep = count > 1
+        stands = stands[keep]
+        return pa.table({"id": id_[keep], "at": pa.array(place[keep], mask=stands), "gram": pa.array(gram[keep].view(np.int64), mask=~stands), "hot": count[keep] > hot})
 
     return repeated
 
@@ -192,36 +234,44 @@ def _cut(strings: bool):
                         out.append((ids[doc[r]], int(anchor[r] - base[r]), None, int(gram[r].astype(np.int64)), None, min(len(rows), 2), left, string))
                     elif len(rows) > 1:
                         out.extend((ids[doc[r]], int(first[r] - base[r]), int(last[r] + LENGTH - base[r]), None, None, None, None, None) for r in rows)
-                warm = np.flatnonzero(kind == 2)
-                if not strings and len(warm):
-                    count = last[warm] - first[warm] + 1
-                    window = np.repeat(first[warm] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    run = np.repeat(warm, count)
-                    prints = np.stack([hashes_at(prefix_sums(data, s), window, LENGTH) for s in (1, 2)], 1)
-                    _, one, inverse, times = np.unique(prints, axis=0, return_index=True, return_inverse=True, return_counts=True)
-                    inverse = inverse.ravel()
-                    low, high = prints.view(np.int64).T
-                    # Windows of one print: told apart by their bytes, so that those of a group are equal.
-                    groups: dict[tuple[int, bytes], list[int]] = {}
-                    for w in np.flatnonzero(times[inverse] > 1).tolist():
-                        groups.setdefault((int(inverse[w]), whole[window[w] : window[w] + LENGTH]), []).append(w)
-                    for members in groups.values():
-                        if len(members) > 1:
-                            out.extend((ids[doc[run[w]]], int(window[w] - base[run[w]]), int(window[w] + LENGTH - base[run[w]]), None, None, None, None, None) for w in members)
-                    for w, weight in [*((int(w), 1) for w in one[times == 1]), *((members[0], min(len(members), 2)) for members in groups.values())]:
-                        out.append((ids[doc[run[w]]], int(window[w] - base[run[w]]), None, int(low[w]), int(high[w]), weight, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PARTS, strict=True)], schema=PARTS)
+                if not strings:
+                    warm = np.flatnonzero(kind == 2)
+                    count = last[warm] - first[warm] + 1
+                    begin = np.concatenate([[0], np.cumsum(count)])
+                    for k in range(0, int(begin[-1]), WARM):
+                        n = np.arange(k, min(k + WARM, int(begin[-1])))
+                        run = np.searchsorted(begin, n, "right") - 1
+                        yield from _warm(data, first[warm[run]] + n - begin[run], base[warm[run]], ids[doc[warm[run]]])
 
     return cut
 
 
+def _warm(data: np.ndarray, window: np.ndarray, base: np.ndarray, id_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that have equals among the given ones, and of equal ones the first with its print."""
+    low, high = prints(data, window)
+    one = alike(data, window, low, high)
+    times = np.bincount(one, minlength=len(one))
+    start = window - base
+    again = np.flatnonzero(times[one] > 1)
+    if len(again):
+        new = np.flatnonzero(np.concatenate([[True], (base[again[1:]] != base[again[:-1]]) | (window[again[1:]] != window[again[:-1]] + 1)]))
+        stop = np.append(new[1:], len(again)) - 1
+        yield batch_of(PARTS, {"id": pa.array(id_[again[new]]), "start": pa.array(start[again[new]]), "end": pa.array(start[again[stop]] + LENGTH)})
+    own = np.flatnonzero(times)
+    yield batch_of(PARTS, {"id": pa.array(id_[own]), "start": pa.array(start[own]), "low": pa.array(low[own].view(np.int64)), "high": pa.array(high[own].view(np.int64)), "weight": pa.array(np.minimum(times[own], 2).astype(np.int32))})
+
+
 WINDOWS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("window", pa.binary())])
 WINDOWS_DDL = "id long, start long, low long, high long, window binary"
 
 
 def _windows(every: bool):
-    """The bytes of the given windows: each one with its place, or each print's different bytes once a block."""
+    """The bytes of the given windows: each one with its place, or each print's different bytes once for some of a block."""
+
+    def made(seen: dict[tuple, tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen.values(), strict=True), WINDOWS, strict=True)], schema=WINDOWS)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +282,11 @@ def _windows(every: bool):
                     for s, a, b in zip(start, low, high, strict=True):
                         window = text[s : s + LENGTH]
                         seen[(id_, s) if every else (a, b, window)] = (id_, s, a, b, window)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen.values(), strict=True), WINDOWS, strict=True)], schema=WINDOWS)
+                        if len(seen) >= PAIRS:
+                            yield made(seen)
+                            seen = {}
+                if seen:
+                    yield made(seen)
 
     return windows
 
@@ -421,10 +475,11 @@ def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     for all. Only anchors whose gram repeats go on, with the string around them, to
     the bucket of their gram; there the strings are sorted both ways from the
     anchor. Strings that repeat in a block travel once. A gram of more than ``hot``
-    occurrences, or of more than HOT_HERE in a pack of one task, which is told before
-    its occurrences gather, is split: each of its windows is a group of its own, found by a
+    occurrences is split: each of its windows is a group of its own, found by a
     print, counted before and after the shuffle and compared byte by byte, so that
-    no common passage gathers in one task. Groups and buckets number as many as
+    no common passage gathers in one task. Occurrences are counted before they
+    gather: of more than HOT_HERE in a pack of one task, one goes with their number
+    and brings back whether the gram is hot. Groups and buckets number as many as
     the bytes and strings ask for.
 
     Short texts lose nothing. Rows that repeat a doc_id are texts of their own, and
@@ -438,8 +493,11 @@ def repeated_bytes(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFram
     found = work.write(docs.mapInArrow(_find(buckets), FOUND_DDL), "anchors")
     info = found.where("id is not null").select("id", "doc_id", "sha", "n_bytes")
     packed = found.where("bucket is not null").select("bucket", "base", "kinds", "gaps", "counts", "grams", "at")
-    again = packed.groupBy("bucket").applyInArrow(_repeated(hot), "id long, at long, hot boolean")
-    again = again.union(found.where("at_hot is not null").select(F.col("base").alias("id"), F.explode("at_hot").alias("at"), F.lit(True).alias("hot")))
+    again = work.write(packed.groupBy("bucket").applyInArrow(_repeated(hot), "id long, at long, gram long, hot boolean"), "repeated")
+    many = found.where("ids is not null").select("base", "gram", F.arrays_zip("ids", "places").alias("all"))
+    told = many.join(again.where("gram is not null").select(F.col("id").alias("base"), "gram", "hot"), ["base", "gram"])
+    told = told.select("hot", F.explode("all").alias("one")).select(F.col("one.ids").alias("id"), F.col("one.places").alias("at"), "hot")
+    again = again.where("gram is null").select("id", "at", "hot").union(told)
     again = again.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("hot").alias("hot"))
     copies = work.write(info.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("doc_id", "id").alias("doc_id")), "copies")
     needed = work.write(copies.join(again, "id").select("id", "sha", "doc_id", "at", "hot"), "needed")
