@@ -431,22 +431,23 @@ def _match(table: pa.Table) -> pa.Table:
     after, lcp_after = ranked([s[a:] for s, a in zip(strings, left.tolist(), strict=True)], GRAM)
     last = left - (np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH)  # the least o of a string; left is the largest
     id_, at = table.column("id").to_numpy(), table.column("start").to_numpy()
-    rows, offsets = [], []
-    for o in range(REACH + 1):
+    rows, firsts, ends = [], [], []
+    began = np.full(len(strings), -1)  # the least o of the run of hits that a string is in
+    for o in range(REACH + 2):
+        hit = np.zeros(len(strings), bool)
         some = np.flatnonzero((last <= o) & (o <= left))
-        if len(some):
+        if len(some) and o <= REACH:
             a = np.cumsum(lcp_before < o)[before[some]] if o else np.zeros(len(some), np.int64)
             b = np.cumsum(lcp_after < LENGTH - o)[after[some]]
             _, inverse = np.unique(a * (len(lcp_after) + 1) + b, return_inverse=True)
-            hit = some[np.bincount(inverse, weight[some])[inverse] > 1]
-            rows.append(hit)
-            offsets.append(np.full(len(hit), o))
-    row, offset = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*offsets, np.zeros(0, np.int64)])
-    order = np.lexsort([-offset, row])
-    row, start = row[order], at[row[order]] - offset[order]
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-    stop = np.concatenate([new[1:], [len(row)]]) - 1 if len(row) else new
-    return pa.table({"id": id_[row[new]], "start": start[new], "end": start[stop] + LENGTH})
+            hit[some] = np.bincount(inverse, weight[some])[inverse] > 1
+        done = np.flatnonzero(~hit & (began >= 0))
+        rows.append(done)
+        firsts.append(at[done] - (o - 1))
+        ends.append(at[done] - began[done] + LENGTH)
+        began[done] = -1
+        began[hit & (began < 0)] = o
+    return pa.table({"id": id_[np.concatenate(rows)], "start": np.concatenate(firsts), "end": np.concatenate(ends)})
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,20 @@ def test_passages_of_many_texts_whether_hot_or_not(spark, monkeypatch, hot):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(df, Workspace(spark, "test"), hot=hot).collect()}
     assert got == repeated_by_brute_force(list(enumerate(texts)))
+
+
+def test_hits_of_a_bucket_are_held_as_spans():
+    """Strings that repeat in all their windows: a hit for each, 137 a string at most, isn't held."""
+    draw = np.random.default_rng(7)
+    grams = [bytes(draw.integers(97, 123, 336, np.uint8)) for _ in range(600)]
+    n = 5 * len(grams)
+    table = pa.table({"id": pa.array(range(n), pa.int64()), "start": pa.array([500] * n, pa.int64()), "left": pa.array([136] * n, pa.int32()), "weight": pa.array([1] * n, pa.int32()), "bytes": pa.array(grams * 5, pa.binary())})
+    table = pa.concat_tables([table, table.slice(0, 1).set_column(4, "bytes", pa.array([bytes(300)], pa.binary()))]).combine_chunks()
+    tracemalloc.start()
+    try:
+        spans = suffix_dedup._match(table).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted((r["id"], r["start"], r["end"]) for r in spans) == [(i, 364, 700) for i in range(n)]
+    assert peak < 8_000_000
